@@ -275,3 +275,16 @@ VERDICTS_SQL = f"""verdicts AS (
     CASE WHEN toxic <> 1 THEN 7 END AS output_tokens,
     CASE WHEN n_chars % 3 = 0 THEN TIMESTAMP '2026-08-31 23:59:59' ELSE TIMESTAMP '2026-09-01 00:00:00' END AS recorded_at
   FROM labels JOIN documents USING (doc_id))"""
+
+
+def listing_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` keyed by language and length, so copies and chance matches share a key."""
+    base = listing_by_lang(spark, sf_dir)
+    return base.withColumn(
+        "url", F.concat(F.lit("https://listings.example.org/len/"), F.length("description").cast("string"))
+    ).withColumn("title", F.element_at(F.split("description", "\n"), 1))
+
+
+LISTING_BY_LENGTH_SQL = LISTING_BY_LANG_SQL.replace(
+    "'https://listings.example.org/doc/' || doc_id AS url", "'https://listings.example.org/len/' || length(text) AS url"
+).replace("'t' || doc_id AS title", "split_part(text, chr(10), 1) AS title")
