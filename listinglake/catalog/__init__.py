@@ -1,4 +1,4 @@
 """All registered queries. Importing this package fills the registry."""
 
-from listinglake.catalog import logs, quality  # noqa: F401
+from listinglake.catalog import logs, publish, quality  # noqa: F401
 from listinglake.catalog.registry import ORACLES, QUERIES  # noqa: F401

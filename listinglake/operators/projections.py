@@ -13,11 +13,15 @@ from listinglake.sources.log import entries_of
 
 
 def latest_observations(log: DataFrame) -> DataFrame:
-    """The newest observation of every gig, replaced gigs included. Combined before the shuffle."""
+    """The newest observation of every gig, replaced gigs included. Combined before the shuffle.
+
+    ``first_seq`` is where the gig first appeared, the order that breaks ties between dates.
+    """
     row = F.struct("seq", "recorded_at", *GIG_FIELDS)
     return (
-        entries_of(log, OBSERVED).groupBy(*KEY).agg(F.max_by(row, "seq").alias("o"))
-        .select(*KEY, "o.*")
+        entries_of(log, OBSERVED).groupBy(*KEY)
+        .agg(F.max_by(row, "seq").alias("o"), F.min("seq").alias("first_seq"))
+        .select(*KEY, "o.*", "first_seq")
     )
 
 
@@ -27,7 +31,7 @@ def current_gigs(log: DataFrame) -> DataFrame:
     Reduced to one row per key first, so the join reuses the aggregation's partitioning.
     """
     replaced = entries_of(log, REPLACED).select(*KEY).distinct()
-    return latest_observations(log).join(replaced, KEY, "left_anti").select(*KEY, *GIG_FIELDS, "seq")
+    return latest_observations(log).join(replaced, KEY, "left_anti").select(*KEY, *GIG_FIELDS, "seq", "first_seq")
 
 
 def same_gig(left: str, right: str) -> Column:

@@ -44,17 +44,19 @@ def contaminated(listing: DataFrame, counters: int = COUNTERS) -> DataFrame:
     )
     texts = attach(rows, venues, ["venue_id"], "inner").select(
         "venue_id", "need", "gig", "listing_pos", words(F.col("description")).alias("w")
-    ).where(F.size("w") >= PHRASE_WORDS)
-    counter = F.pmod(F.col("p.h1"), F.lit(counters)).cast("int").alias("counter")
+    )
+    counter = lambda h: F.pmod(h, F.lit(counters)).cast("int").alias("counter")
 
-    once = texts.select("venue_id", "need", F.explode(F.array_distinct(phrases(F.col("w")))).alias("p"))
+    # distinct over plain longs, which hashes; over structs it would compare every pair
+    first_hash = F.array_distinct(F.transform(phrases(F.col("w")), lambda p: p["h1"]))
+    once = texts.select("venue_id", "need", F.explode(first_hash).alias("h1"))
     likely = durable(
-        once.groupBy("venue_id", counter).agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need"))
+        once.groupBy("venue_id", counter(F.col("h1"))).agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need"))
         .where(F.col("n") >= F.col("need")).select("venue_id", "counter")
     )
     held = texts.select(
         "venue_id", "need", "gig", "listing_pos", F.size("w").alias("n_words"), F.explode(phrases(F.col("w"))).alias("p")
-    ).select("*", counter)
+    ).select("*", counter(F.col("p.h1")))
     # identical rows are one gig: their phrases count once, however often they are listed
     repeats = durable(
         attach(held, likely, ["venue_id", "counter"], "left_semi")
