@@ -7,10 +7,10 @@ come from a table of rules, one row per venue.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from listinglake.sources.html import TEXT
+from listinglake.sources.html import TEXT, with_nodes
 
 # tag, classes (all of them), id, attribute present / equal to / containing, a class it must not
 # have; and what some ancestor must be
@@ -115,6 +115,11 @@ def text_of(part: Column) -> Column:
     return F.trim(F.regexp_replace(F.array_join(pieces, ""), " +", " "))
 
 
+def html_text(rows: DataFrame, column: str) -> DataFrame:
+    """Replace a column of markup by the text it shows."""
+    return with_nodes(rows, column, "_nodes").withColumn(column, text_of(F.col("_nodes"))).drop("_nodes")
+
+
 def texts_of(found: Column, part: Column) -> Column:
     """The text of each found node, as an array."""
     return F.transform(found, lambda n: text_of(within(part, n)))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from listinglake.functions.dates import iso_date, local_date
 from listinglake.functions.text import is_blank, title_spacing
 from listinglake.functions.urls import dated_key, first_not_blank, without_query
+from listinglake.operators.dom import html_text
 
 SEARCH_SCHEMA = (
     "documents array<struct<name: string, encodedName: string, eventDate: string, image: string, "
@@ -51,40 +52,25 @@ def ticketless_report(events: DataFrame) -> DataFrame:
     return ticketless(events).groupBy("venue_id").agg(F.count(F.lit(1)).alias("skipped"))
 
 
-def search_copy(event: str = "event") -> Column:
-    """The event's own copy without markup, unless blank or a cancellation notice; else acts and genres."""
-    e = lambda f: F.col(f"{event}.{f}")
-    html = F.coalesce(F.try_element_at(e("localizations"), F.lit(1))["description"], F.lit(""))
-    copy = plain_text(html)
-    names = lambda f: F.array_join(F.transform(F.coalesce(e(f), F.array()), lambda x: x["name"]), ", ")
+def search_copy(copy: Column, event: str = "event") -> Column:
+    """The event's own copy, unless blank or a cancellation notice; else its acts and genres."""
+    names = lambda f: F.array_join(F.transform(F.coalesce(F.col(f"{event}.{f}"), F.array()), lambda x: x["name"]), ", ")
     part = lambda label, text: F.when(~is_blank(text), F.concat(F.lit(f"{label}: "), text, F.lit(".")))
     fallback = F.concat_ws(" ", part("Lineup", names("lineup")), part("Genre", names("genres")))
     return F.when(~is_blank(copy) & ~copy.rlike(CANCELLED), copy).otherwise(fallback)
 
 
-# The character references that short API copy uses.
-REFERENCES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
-
-
-def plain_text(html: Column) -> Column:
-    """Short copy without tags, every run of white space one space. For whole pages see ``sources.html``."""
-    text = F.regexp_replace(html, r"(?i)</?(?:b|i|em|strong|a|span|u)\b[^<>]*>", "")
-    text = F.regexp_replace(text, r"<[^<>]*>", " ")
-    for reference, character in REFERENCES.items():
-        text = F.replace(text, F.lit(reference), F.lit(character))
-    return F.trim(F.regexp_replace(text, r"[\s ]+", " "))
-
-
 def search_listing(events: DataFrame) -> DataFrame:
     """Ticketed events as listing rows; a blank picture is left null for the event page to fill."""
-    return ticketed(events).select(
+    markup = F.coalesce(F.try_element_at("event.localizations", F.lit(1))["description"], F.lit(""))
+    return html_text(ticketed(events).withColumn("copy", markup), "copy").select(
         "venue_id", "item_no",
-        without_query(F.try_element_at(F.col("event.tickets"), F.lit(1))["ticketUrl"]).alias("url"),
+        without_query(F.try_element_at("event.tickets", F.lit(1))["ticketUrl"]).alias("url"),
         title_spacing(F.col("event.name")).alias("title"),
         iso_date(F.substring_index("event.eventDate", "T", 1), r"^(\d{4}-\d{2}-\d{2})$").alias("date"),
         first_not_blank(F.col("event.image")).alias("poster_url"),
-        search_copy().alias("description"),
-        F.concat_ws("-tickets-ae", "event.encodedName", F.try_element_at(F.col("event.lineup"), F.lit(1))["id"]).alias("page_name"),
+        search_copy(F.col("copy")).alias("description"),
+        F.concat(F.col("event.encodedName"), F.lit("-tickets-ae"), F.try_element_at("event.lineup", F.lit(1))["id"]).alias("page_name"),
     )
 
 
