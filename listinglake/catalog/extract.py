@@ -219,14 +219,13 @@ _printed(
 _printed("date_short", lambda on: F.concat(F.lit("on "), F.date_format(on, "dd MMM yyyy")), lambda text: d.printed_date(text, d.SHORT))
 
 
-@query("date_short_year", """SELECT o_orderkey, CAST(year(o_orderdate) % 100 + 2000 || strftime(o_orderdate, '-%m-%d') AS DATE) AS date FROM orders WHERE strftime(o_orderdate, '%m-%d') <> '02-29'""")
+@query("date_short_year", """SELECT o_orderkey, CAST(year(o_orderdate) % 100 + 2000 || strftime(o_orderdate, '-%m-%d') AS DATE) AS date FROM orders""")
 def date_short_year(spark, sf):
-    """Two-digit years in both forms; the orders' years move to this century, leap days aside."""
+    """Two-digit years in both forms; the orders' years move to this century."""
     on = F.col("on")
     dotted = d.printed_date(F.date_format(on, "EEE.dd.MMM.yy"), d.DOTTED_YEAR, 2000)
     spaced = d.printed_date(F.date_format(on, "EEE d MMM yy"), d.SHORT_YEAR, 2000)
-    days = order_days(spark, sf).where(F.date_format(on, "MM-dd") != "02-29")
-    return days.select("o_orderkey", F.when(F.dayofmonth(on) < 20, dotted).otherwise(spaced).alias("date"))
+    return order_days(spark, sf).select("o_orderkey", F.when(F.dayofmonth(on) < 20, dotted).otherwise(spaced).alias("date"))
 
 
 @query("date_tz", "SELECT event_id, CAST(ts AT TIME ZONE 'UTC' AT TIME ZONE CASE WHEN user_id % 2 = 0 THEN 'Europe/London' ELSE 'Asia/Tokyo' END AS DATE) AS date FROM events")
@@ -391,7 +390,7 @@ def search_bodies(spark, sf):
     url = F.concat(F.lit("https://www.ticketmaster.co.uk/e/"), F.col("doc_id").cast("string"), F.lit("?ref=x"))
     ticket = F.array(F.struct(url.alias("ticketUrl")))
     none = F.slice(ticket, 1, 0)
-    html = F.concat(F.lit("<p><b>Hi</b> &amp; "), F.replace(first_line(), F.lit("<"), F.lit("")), F.lit("</p>"))
+    html = F.concat(F.lit("<p><b>Hi</b> &amp; "), F.replace(F.replace(first_line(), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</p>"))
     copy = F.when(n % 3 == 0, F.lit("<p>Sorry, this show has been cancelled.</p>")).when(n % 3 == 1, F.lit(" <br> ")).otherwise(html)
 
     def event(number, tickets, copies):
@@ -421,11 +420,10 @@ def json_listing(spark, sf):
 
 
 @query("desc_fallback", with_ctes(SEARCHED_SQL, r"""SELECT doc_id, item_no, CASE WHEN item_no = 1 OR n_chars % 3 <> 2 THEN 'Lineup: Act 1 of ' || source || ', Act 2 of ' || source || '. Genre: ' || lang || '.'
-    ELSE trim(regexp_replace('Hi & ' || replace(line, '<', ''), '[\s\x{a0}]+', ' ', 'g')) END AS description FROM searched WHERE (item_no = 0 OR n_chars % 4 <> 0) AND NOT contains(line, '&')"""))
+    ELSE trim(regexp_replace('Hi & ' || line, '[\s\x{a0}]+', ' ', 'g')) END AS description FROM searched WHERE (item_no = 0 OR n_chars % 4 <> 0)"""))
 def desc_fallback(spark, sf):
-    """Each event's copy, or its acts and genres; lines that hold an ampersand of their own aside."""
-    plain = docs(spark, sf).where(~first_line().contains("&")).select("doc_id")
-    bodies = search_bodies(spark, sf).join(plain, "doc_id", "left_semi")
+    """Each event's copy, or its acts and genres."""
+    bodies = search_bodies(spark, sf)
     listed = payloads.search_listing(payloads.search_events(bodies, ["venue_id", "doc_id"]))
     return listed.select(F.split_part("url", F.lit("/"), F.lit(5)).cast("bigint").alias("doc_id"), "item_no", "description")
 

@@ -6,6 +6,7 @@ are the ones the result needs: cards meeting their event pages, and venue-wide o
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -35,11 +36,12 @@ def _absolute(link: Column, page_url: Column) -> Column:
     return F.when(is_blank(link), F.lit("")).otherwise(u.resolved(link, page_url))
 
 
-def card_rows(pages: DataFrame, rules: DataFrame) -> DataFrame:
+def card_rows(pages: DataFrame, rules: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """One row per card of every page, with what its rule reads off it.
 
     ``pages`` is ``venue_id, url, page_no, status, body`` of listing pages that opened. Columns of
-    the result: key, place, ``title``, ``date`` or ``month`` and ``day``, ``poster``, ``card_copy``.
+    the result: key, place, ``title``, ``date`` or ``month`` and ``day``, ``poster``, ``card_copy``,
+    and the page's own columns named in ``keep``.
     """
     parsed = with_nodes(pages, "body").join(F.broadcast(rules.withColumnRenamed("date", "date_at")), "venue_id")
     nodes, r = F.col("nodes"), F.col
@@ -60,7 +62,7 @@ def card_rows(pages: DataFrame, rules: DataFrame) -> DataFrame:
     pick = lambda rule: dom.select_any(part, r(rule), nodes)
     link = F.when(r("link_has").isNotNull(), dom.having(part, F.element_at("link", 1), r("link_has"))).otherwise(pick("link"))
     fields = card.select(
-        "venue_id", F.col("url").alias("page_url"), "page_no", "under", "title_first", "tidy_title", "date_attr", "date_kind",
+        *keep, "venue_id", F.col("url").alias("page_url"), "page_no", "under", "title_first", "tidy_title", "date_attr", "date_kind",
         "date_pattern", "century", "year_rule", "poster_kind", "house_image", "distinct_links",
         page_position(F.col("page_no"), F.col("item_no")).alias("listing_pos"),
         link.alias("link_nodes"), pick("link_fallback").alias("fallback_nodes"),
@@ -92,7 +94,7 @@ def card_rows(pages: DataFrame, rules: DataFrame) -> DataFrame:
         .withColumn("day", F.regexp_extract(text("day_nodes"), r"(\d{1,2})", 1).try_cast("int"))
         .withColumn("poster", _poster())
         .withColumn("card_copy", F.when(F.col("has_card_copy"), text("copy_nodes")))
-        .select("venue_id", "listing_pos", "url", "under", "title", "date", "month", "day", "year_rule", "poster", "house_image",
+        .select(*keep, "venue_id", "listing_pos", "url", "under", "title", "date", "month", "day", "year_rule", "poster", "house_image",
                 "card_copy", "distinct_links")
     )
 
