@@ -46,7 +46,7 @@ def resolved(link: Column, base: Column) -> Column:
 
 
 def first_not_blank(*links: Column) -> Column:
-    return F.coalesce(*[F.when(not_blank(link), link) for link in links])
+    return F.try_element_at(F.filter(F.array(*links), not_blank), F.lit(1))
 
 
 def without_params(url: Column, starting: Iterable[str]) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from listinglake.functions.once import once
 from listinglake.sources.html import TEXT, with_nodes
 
 # tag, classes (all of them), id, attribute present / equal to / containing, a class it must not
@@ -70,8 +71,7 @@ def select(part: Column, s: Column, nodes: Column | None = None) -> Column:
 def select_any(part: Column, selectors: Column, nodes: Column | None = None) -> Column:
     """Nodes of ``part`` that match any of an array of selectors; nothing when the array is null."""
     whole = part if nodes is None else nodes
-    listed = F.coalesce(selectors, F.from_json(F.lit("[]"), f"array<{SELECTOR}>"))
-    return F.filter(part, lambda n: F.exists(listed, lambda s: matches(n, s, whole)))
+    return F.filter(part, lambda n: F.coalesce(F.exists(selectors, lambda s: matches(n, s, whole)), F.lit(False)))
 
 
 def first(part: Column) -> Column:
@@ -127,7 +127,9 @@ def texts_of(found: Column, part: Column) -> Column:
 
 def joined_text(found: Column, part: Column) -> Column:
     """The found nodes' texts, one after the other; ``""`` where they say nothing, null without any."""
-    return F.when(F.size(found) > 0, F.trim(F.array_join(F.filter(texts_of(found, part), lambda x: x != ""), " ")))
+    return once(
+        found, lambda all_found: F.when(F.size(all_found) > 0, F.trim(F.array_join(F.filter(texts_of(all_found, part), lambda x: x != ""), " ")))
+    )
 
 
 def without_worded(part: Column, found: Column, pattern: Column) -> Column:

@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 
 from listinglake.functions import dates as d
 from listinglake.functions import urls as u
+from listinglake.functions.once import once
 from listinglake.functions.text import is_blank, not_blank, title_problem, title_spacing
 from listinglake.operators import dom
 from listinglake.operators.listings import (
     dedupe_first, isolate_failures, january_after_another, later_month, page_position, pages_in_use, running_year,
 )
 from listinglake.session import durable
+from listinglake.skew import attach
 from listinglake.sources import payloads
 from listinglake.sources.html import with_nodes
 
@@ -33,7 +35,7 @@ def _attr_of(found: Column, name: Column) -> Column:
 
 
 def _absolute(link: Column, page_url: Column) -> Column:
-    return F.when(is_blank(link), F.lit("")).otherwise(u.resolved(link, page_url))
+    return once(link, lambda at: F.when(is_blank(at), F.lit("")).otherwise(u.resolved(at, page_url)))
 
 
 def card_rows(pages: DataFrame, rules: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -52,9 +54,8 @@ def card_rows(pages: DataFrame, rules: DataFrame, keep: Sequence[str] = ()) -> D
         found,
         lambda c: r("must_hold").isNull() | (F.size(dom.select_any(dom.subtree(nodes, c), r("must_hold"), nodes)) > 0),
     )
-    counted = parsed.withColumn("found", kept).withColumn("items", F.size("found"))
-    used = pages_in_use_of(counted)
-    card = used.select("*", F.posexplode("found").alias("item_no", "card")).drop("found")
+    # an outer explode keeps a page without cards as one row, which is what ends a walk
+    card = parsed.withColumn("found", kept).select("*", F.posexplode_outer("found").alias("item_no", "card")).drop("found")
     # each field's nodes, within the card
     part = dom.subtree(nodes, F.col("card"))
     card = card.withColumn("part", part)
@@ -64,7 +65,7 @@ def card_rows(pages: DataFrame, rules: DataFrame, keep: Sequence[str] = ()) -> D
     fields = card.select(
         *keep, "venue_id", F.col("url").alias("page_url"), "page_no", "under", "title_first", "tidy_title", "date_attr", "date_kind",
         "date_pattern", "century", "year_rule", "poster_kind", "house_image", "distinct_links",
-        page_position(F.col("page_no"), F.col("item_no")).alias("listing_pos"),
+        "item_no", "max_pages", page_position(F.col("page_no"), F.coalesce("item_no", F.lit(0))).alias("listing_pos"),
         link.alias("link_nodes"), pick("link_fallback").alias("fallback_nodes"),
         pick("title").alias("title_nodes"), pick("date_at").alias("date_nodes"), pick("month").alias("month_nodes"),
         pick("day").alias("day_nodes"), pick("poster").alias("poster_nodes"), pick("card_copy").alias("copy_nodes"),
@@ -86,7 +87,7 @@ def card_rows(pages: DataFrame, rules: DataFrame, keep: Sequence[str] = ()) -> D
     href = _absolute(_attr_of(F.col("link_nodes"), F.lit("href")), F.col("page_url"))
     fallback = _absolute(_attr_of(F.col("fallback_nodes"), F.lit("href")), F.col("page_url"))
     title = F.when(F.coalesce("title_first", F.lit(False)), F.coalesce(dom.text_of(dom.within(part, dom.first(F.col("title_nodes")))), F.lit(""))).otherwise(text("title_nodes"))
-    return (
+    read = durable(
         fields.withColumn("url", F.coalesce(u.first_not_blank(href, fallback), F.lit("")))
         .withColumn("title", F.when(F.coalesce("tidy_title", F.lit(False)), title_spacing(title)).otherwise(title))
         .withColumn("date", _date(text("date_nodes")))
@@ -94,39 +95,48 @@ def card_rows(pages: DataFrame, rules: DataFrame, keep: Sequence[str] = ()) -> D
         .withColumn("day", F.regexp_extract(text("day_nodes"), r"(\d{1,2})", 1).try_cast("int"))
         .withColumn("poster", _poster())
         .withColumn("card_copy", F.when(F.col("has_card_copy"), text("copy_nodes")))
-        .select(*keep, "venue_id", "listing_pos", "url", "under", "title", "date", "month", "day", "year_rule", "poster", "house_image",
-                "card_copy", "distinct_links")
+        .select(*keep, "venue_id", "page_no", "item_no", "max_pages", "listing_pos", "url", "under", "title", "date", "month", "day",
+                "year_rule", "poster", "house_image", "card_copy", "distinct_links")
     )
+    return walked(read).drop("page_no", "item_no", "max_pages")
 
 
-def pages_in_use_of(counted: DataFrame) -> DataFrame:
-    """Pages up to the first without cards, within the source's cap; single-page sources as they are."""
-    pages = durable(counted.select("venue_id", "page_no", "items", F.coalesce("max_pages", F.lit(1 << 30)).alias("cap")))
+def walked(read: DataFrame) -> DataFrame:
+    """Cards of the pages before the first without any, within the source's cap."""
+    pages = durable(
+        read.groupBy("venue_id", "page_no")
+        .agg(F.count("item_no").alias("items"), F.coalesce(F.max("max_pages"), F.lit(1 << 30)).alias("cap"))
+    )
     used = durable(pages_in_use(pages, F.col("cap")).select("venue_id", "page_no"))
-    return counted.join(used, ["venue_id", "page_no"], "left_semi")
+    return attach(read.where(F.col("item_no").isNotNull()), used, ["venue_id", "page_no"], "left_semi")
 
 
 def _date(text: Column) -> Column:
-    kind, pattern, found = F.col("date_kind"), F.col("date_pattern"), F.col("date_nodes")
+    """The date by the rule's kind."""
+    part, found, kind, pattern = F.col("part"), F.col("date_nodes"), F.col("date_kind"), F.col("date_pattern")
     attr = _attr_of(found, F.coalesce("date_attr", F.lit("")))
-    start = F.coalesce(_classed(found, "m-date__rangeFirst"), _classed(found, "m-date__singleDate"))
-    end = F.coalesce(_classed(found, "m-date__rangeLast"), start)
-    inner = lambda node, name: dom.text_of(dom.within(F.col("part"), dom.first(dom.select(dom.within(F.col("part"), node), dom.selector(classes=[name])))))
-    printed = d.day_of(
-        _group(text, pattern, 3).try_cast("int") + F.coalesce("century", F.lit(0)),
-        d.month_number(_group(text, pattern, 2)), _group(text, pattern, 1).try_cast("int"),
+    inner = lambda node, name: dom.text_of(_classed(part, node, name))
+    marked = lambda *names: F.coalesce(*[dom.first(_named(part, found, name)) for name in names])
+    parts = once(
+        F.struct(marked("m-date__rangeFirst", "m-date__singleDate").alias("a"), marked("m-date__rangeLast", "m-date__rangeFirst", "m-date__singleDate").alias("b")),
+        lambda ends: once(
+            F.array(inner(ends["a"], "m-date__day"), inner(ends["a"], "m-date__month"), inner(ends["b"], "m-date__month"), inner(ends["b"], "m-date__year")),
+            lambda v: d.parts_start(v[0], v[1], v[2], v[3]),
+        ),
+    )
+    printed = lambda line: d.day_of(
+        _group(line, pattern, 3).try_cast("int") + F.coalesce("century", F.lit(0)),
+        d.month_number(_group(line, pattern, 2)), _group(line, pattern, 1).try_cast("int"),
+    )
+    by_text = once(
+        text,
+        lambda line: F.when(kind == "printed", printed(line)).when(kind == "range", d.range_start(line))
+        .when(kind == "month_first_range", d.month_first_range_start(line))
+        .when(kind == "block", d.block_date(F.col("block"), _group(line, pattern, 1))),
     )
     return (
-        F.when(kind == "iso", d.iso_date(attr))
-        .when(kind == "slug", d.iso_date(F.col("url"), r"/events/(\d{4}-\d{2}-\d{2})-"))
-        .when(kind == "printed", printed)
-        .when(kind == "range", d.range_start(text))
-        .when(kind == "month_first_range", d.month_first_range_start(text))
-        .when(kind == "block", d.block_date(F.col("block"), _group(text, pattern, 1)))
-        .when(
-            kind == "parts",
-            d.parts_start(inner(start, "m-date__day"), inner(start, "m-date__month"), inner(end, "m-date__month"), inner(end, "m-date__year")),
-        )
+        F.when(kind == "iso", d.iso_date(attr)).when(kind == "slug", d.iso_date(F.col("url"), r"/events/(\d{4}-\d{2}-\d{2})-"))
+        .when(kind == "parts", parts).otherwise(by_text)
     )
 
 
@@ -135,32 +145,38 @@ def _group(text: Column, pattern: Column, group: int) -> Column:
     return F.call_function("regexp_extract", text, F.coalesce(pattern, F.lit(d.ORDINAL)), F.lit(group))
 
 
-def _classed(found: Column, name: str) -> Column:
-    """The first node of that class inside the first found node."""
-    return dom.first(dom.select(dom.within(F.col("part"), dom.first(found)), dom.selector(classes=[name])))
+def _named(part: Column, found: Column, name: str) -> Column:
+    """Nodes of a class inside the first found node."""
+    return once(dom.first(found), lambda node: _of_class(dom.within(part, node), name))
+
+
+def _of_class(part: Column, name: str) -> Column:
+    return F.filter(part, lambda n: F.array_contains(n["classes"], name))
+
+
+def _classed(part: Column, node: Column, name: str) -> Column:
+    """The first node of a class inside a node, with its own inside."""
+    return once(dom.first(_of_class(dom.within(part, node), name)), lambda n: dom.within(part, n))
 
 
 def _month(text: Column) -> Column:
     """A month standing alone, or after its day as in ``14th August``."""
-    alone = d.month_number(text)
-    return F.coalesce(alone, d.month_number(F.regexp_extract(text, d.DAY_MONTH, 2)))
+    return once(text, lambda line: F.coalesce(d.month_number(line), d.month_number(F.regexp_extract(line, d.DAY_MONTH, 2))))
 
 
 def _poster() -> Column:
-    kind, page = F.col("poster_kind"), F.col("page_url")
+    """The picture's url by the rule's kind, null without one."""
+    kind = F.col("poster_kind")
     attrs = F.coalesce("poster_attrs", F.array(F.lit("src")))
-    values = F.transform(attrs, lambda name: _attr_of(F.col("poster_nodes"), name))
-    raw = F.coalesce(dom.first(F.filter(values, not_blank)), F.lit(""))
-    link = F.when(F.col("poster_attrs").isNotNull() & (F.element_at("poster_attrs", 1) == "style"), raw).otherwise(_absolute(raw, page))
-    css = u.css_background(raw)
-    return u.first_not_blank(
-        F.when(kind == "css", css)
-        .when(kind == "css_thumbnail", u.without_thumbnail_suffix(css))
-        .when(kind == "thumbnail", u.without_thumbnail_suffix(link))
-        .when(kind == "original", u.original_size(link))
-        .when(kind == "imgix", u.imgix_full_width(link))
-        .when(kind == "widest", F.coalesce(u.widest_of(_attr_of(F.col("poster_nodes"), F.lit("srcset"))), link))
-        .otherwise(link)
+    raw = dom.first(F.filter(F.transform(attrs, lambda name: _attr_of(F.col("poster_nodes"), name)), not_blank))
+    in_style = kind.isin("css", "css_thumbnail")
+    found = once(raw, lambda value: F.when(in_style, u.css_background(value)).otherwise(_absolute(value, F.col("page_url"))))
+    srcset = _attr_of(F.col("poster_nodes"), F.lit("srcset"))
+    return once(
+        found,
+        lambda link: F.when(kind.isin("css_thumbnail", "thumbnail"), u.without_thumbnail_suffix(link))
+        .when(kind == "original", u.original_size(link)).when(kind == "imgix", u.imgix_full_width(link))
+        .when(kind == "widest", F.coalesce(u.widest_of(srcset), link)).otherwise(F.nullif(link, F.lit(""))),
     )
 
 
