@@ -415,7 +415,7 @@ SEARCHED_SQL = """searched AS (SELECT source AS venue_id, doc_id, lang, source,
 def json_listing(spark, sf):
     events = payloads.search_events(search_bodies(spark, sf), ["venue_id", "doc_id"])
     return payloads.search_listing(events).select(
-        "venue_id", F.split_part("url", F.lit("/"), F.lit(5)).cast("bigint").alias("doc_id"), "item_no", "title", "url", "date", "poster_url"
+        "venue_id", "doc_id", "item_no", "title", "url", "date", "poster_url"
     )
 
 
@@ -425,7 +425,7 @@ def desc_fallback(spark, sf):
     """Each event's copy, or its acts and genres."""
     bodies = search_bodies(spark, sf)
     listed = payloads.search_listing(payloads.search_events(bodies, ["venue_id", "doc_id"]))
-    return listed.select(F.split_part("url", F.lit("/"), F.lit(5)).cast("bigint").alias("doc_id"), "item_no", "description")
+    return listed.select("doc_id", "item_no", "description")
 
 
 @query("ticketless", with_ctes(SEARCHED_SQL, "SELECT venue_id, count(*) AS skipped FROM searched WHERE item_no = 1 AND n_chars % 4 = 0 GROUP BY venue_id"))

@@ -29,9 +29,13 @@ CANCELLED = r"(?i)^sorry, this show has been cancelled"
 
 
 def events_of(bodies: DataFrame, schema: str, field: str, keep: list[str]) -> DataFrame:
-    """One row per array element of ``body``, in order; a body that is not such JSON keeps one null row."""
+    """One row per array element of ``body``, in order.
+
+    A body without elements keeps one row with a null ``event``; ``readable`` says whether it was
+    such JSON at all.
+    """
     return bodies.select(*keep, F.from_json("body", schema).alias("_b")).select(
-        *keep, F.posexplode_outer(f"_b.{field}").alias("item_no", "event")
+        *keep, F.col(f"_b.{field}").isNotNull().alias("readable"), F.posexplode_outer(f"_b.{field}").alias("item_no", "event")
     )
 
 
@@ -63,8 +67,9 @@ def search_copy(copy: Column, event: str = "event") -> Column:
 def search_listing(events: DataFrame) -> DataFrame:
     """Ticketed events as listing rows; a blank picture is left null for the event page to fill."""
     markup = F.coalesce(F.try_element_at("event.localizations", F.lit(1))["description"], F.lit(""))
+    kept = [c for c in events.columns if c not in ("readable", "item_no", "event")]
     return html_text(ticketed(events).withColumn("copy", markup), "copy").select(
-        "venue_id", "item_no",
+        *kept, "item_no",
         without_query(F.try_element_at("event.tickets", F.lit(1))["ticketUrl"]).alias("url"),
         title_spacing(F.col("event.name")).alias("title"),
         iso_date(F.substring_index("event.eventDate", "T", 1), r"^(\d{4}-\d{2}-\d{2})$").alias("date"),
