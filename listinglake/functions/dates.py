@@ -22,17 +22,14 @@ ISO = r"(\d{4}-\d{2}-\d{2})"
 
 def month_number(name: Column) -> Column:
     """1 to 12 for a three-letter month name or a full one in any case; null for anything else."""
-    pairs = [F.lit(x) for i, m in enumerate(MONTHS, 1) for x in (m[:3], i)]
-    pairs += [F.lit(x) for i, m in enumerate(MONTHS, 1) for x in (m.upper(), i)]
-    known = F.create_map(*pairs)
-    return F.coalesce(F.try_element_at(known, name), F.try_element_at(known, F.upper(name)))
+    place = lambda names, x: F.nullif(F.array_position(F.array(*[F.lit(n) for n in names]), x), F.lit(0))
+    return F.coalesce(place([m[:3] for m in MONTHS], name), place([m.upper() for m in MONTHS], F.upper(name))).cast("int")
 
 
 def day_of(year: Column, month: Column, day: Column) -> Column:
     """The date, or null where there is no such day."""
-    return F.concat_ws(
-        "-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0")
-    ).try_cast("date")
+    midnight = (F.lit(0), F.lit(0), F.lit(0))
+    return F.try_make_timestamp_ntz(year, month, day, *midnight).cast("date")
 
 
 def _number(text: Column) -> Column:

@@ -29,7 +29,9 @@ def utf16_length(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Words between runs of ASCII white space."""
-    return F.filter(F.split(stripped(text), r"\s+"), not_blank)
+    # most words open with a printing ASCII character, which saves them the pattern
+    plain = lambda w: F.ascii(w).between(33, 126)
+    return F.filter(F.split(stripped(text), r"\s+"), lambda w: plain(w) | not_blank(w))
 
 
 def shortened(text: Column, limit: int = 60) -> Column:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from listinglake.model import CLASSIFIED, GIG_FIELDS, KEY, LOG_COLUMNS, OBSERVED, USER
 from listinglake.operators import projections as p
-from listinglake.session import durable
+from listinglake.session import durable, side_by_side
 
 
 def compact(log: DataFrame) -> DataFrame:
@@ -75,7 +77,7 @@ def differences(one: DataFrame, other: DataFrame, columns: list[str]) -> DataFra
 
 def compact_verify(log: DataFrame, compacted: DataFrame) -> DataFrame:
     """Per projection, how many rows only the log and only the compacted log yield."""
-    one, other = projections_of(log), projections_of(compacted)
+    one, other = side_by_side([partial(projections_of, log), partial(projections_of, compacted)])
     out = None
     for name, columns in PROJECTIONS.items():
         diff = differences(one[name], other[name], columns)

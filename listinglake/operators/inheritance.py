@@ -36,10 +36,9 @@ def inherited_from(replacements: DataFrame, known: DataFrame) -> DataFrame:
         .select(*KEY, *_FROM, F.coalesce("hit", F.lit(False)).alias("hit"))
     )
     found = [walk.where("hit").select(*KEY, *_FROM)]
-    rounds = math.ceil(math.log2(max(walk.count(), 2))) + 1
-    for _ in range(rounds):
-        waiting = walk.where(~F.col("hit"))
-        if waiting.isEmpty():
+    size, waiting = walk.agg(F.count(F.lit(1)), F.count_if(~F.col("hit"))).first()
+    for _ in range(math.ceil(math.log2(max(size, 2))) + 1):
+        if not waiting:
             break
         # a pointer at a key that is not walking has nothing further to ask
         step = walk.select(
@@ -47,11 +46,12 @@ def inherited_from(replacements: DataFrame, known: DataFrame) -> DataFrame:
             F.col("from_venue_id").alias("_v"), F.col("from_url").alias("_u"), "hit",
         )
         moved = durable(
-            attach(waiting.drop("hit"), step, _FROM, "inner")
+            attach(walk.where(~F.col("hit")).drop("hit"), step, _FROM, "inner", summary_rows=size)
             .select(*KEY, F.col("_v").alias("from_venue_id"), F.col("_u").alias("from_url"), "hit")
         )
         found.append(moved.where("hit").select(*KEY, *_FROM))
-        walk = walk.where("hit").unionByName(moved.where(~F.col("hit"))).unionByName(moved.where("hit"))
+        walk = walk.where("hit").unionByName(moved)
+        waiting = moved.agg(F.count_if(~F.col("hit"))).first()[0]
     result = found[0]
     for part in found[1:]:
         result = result.unionByName(part)

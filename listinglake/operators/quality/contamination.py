@@ -12,19 +12,26 @@ from listinglake.skew import attach
 
 # Words per phrase, share of a row's words that marks it, rows worth comparing.
 PHRASE_WORDS, MARKED_SHARE, LEAST_ROWS = 6, 0.5, 3
-# Phrases of a venue fall into this many counters in the first pass.
+# Phrases of a venue fall into this many counters in the first pass, a multiple of 64.
 COUNTERS = 4096
 
 
-def phrases(found: Column) -> Column:
-    """Every run of six words as two hashes; texts shorter than that have none."""
-    n = F.size(found)
-    runs = F.transform(
-        F.sequence(F.lit(1), F.greatest(n - PHRASE_WORDS + 1, F.lit(1))),
-        lambda i: F.array_join(F.slice(found, i, PHRASE_WORDS), " "),
+def phrase_counters(found: Column, counters: int) -> Column:
+    """The counter each run of six words falls into, in order; null for texts shorter than that."""
+    hashed = F.transform(found, lambda w: F.xxhash64(w))
+    starts = F.sequence(F.lit(1), F.greatest(F.size(found) - PHRASE_WORDS + 1, F.lit(1)))
+    runs = F.transform(starts, lambda i: F.pmod(F.xxhash64(F.slice(hashed, i, PHRASE_WORDS)), F.lit(counters)).cast("int"))
+    return F.when(F.size(found) >= PHRASE_WORDS, runs)
+
+
+def _bitmaps(likely: DataFrame, counters: int) -> DataFrame:
+    """Each venue's counters as an array of 64-bit masks, of fixed size whatever the venue's."""
+    masks = likely.groupBy("venue_id", F.floor(F.col("counter") / 64).cast("int").alias("i")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("counter") % 64)).alias("mask")
     )
-    hashed = F.transform(runs, lambda p: F.struct(F.xxhash64(p).alias("h1"), F.xxhash64(F.lit("."), p).alias("h2")))
-    return F.when(n >= PHRASE_WORDS, hashed)
+    by_venue = masks.groupBy("venue_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "mask"))).alias("m"))
+    full = F.transform(F.sequence(F.lit(0), F.lit(counters // 64 - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("bigint")))
+    return by_venue.select("venue_id", full.alias("bits"))
 
 
 def contaminated(listing: DataFrame, counters: int = COUNTERS) -> DataFrame:
@@ -34,43 +41,47 @@ def contaminated(listing: DataFrame, counters: int = COUNTERS) -> DataFrame:
     ``max(2, ceil(rows / 2))`` distinct gigs hold it. Sending every phrase of every text through a
     shuffle would dwarf the texts, so a first pass counts phrases into a fixed number of counters
     per venue, combined before the shuffle: a counter below the threshold cannot hold a shared
-    phrase, and only phrases of the other counters are counted exactly. Nothing is missed, since a
-    counter is never less than the count of any phrase in it.
+    phrase. The second pass lets through only phrases of the other counters, and counts those by
+    their words. Nothing is missed, since a counter is never less than any phrase in it.
     """
     rows = listing.where(not_blank(F.col("description")))
     venues = durable(
         rows.groupBy("venue_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_ROWS)
         .select("venue_id", F.greatest(F.lit(2), F.ceil(F.col("n") / 2)).cast("bigint").alias("need"))
     )
-    texts = attach(rows, venues, ["venue_id"], "inner").select(
-        "venue_id", "need", "gig", "listing_pos", words(F.col("description")).alias("w")
-    )
-    counter = lambda h: F.pmod(h, F.lit(counters)).cast("int").alias("counter")
+    split = lambda df: df.withColumn("w", words(F.col("description"))).withColumn("runs", phrase_counters(F.col("w"), counters))
 
-    # distinct over plain longs, which hashes; over structs it would compare every pair
-    first_hash = F.array_distinct(F.transform(phrases(F.col("w")), lambda p: p["h1"]))
-    once = texts.select("venue_id", "need", F.explode(first_hash).alias("h1"))
+    counted = split(attach(rows, venues, ["venue_id"], "inner")).select(
+        "venue_id", "need", F.explode(F.array_distinct("runs")).alias("counter")
+    )
     likely = durable(
-        once.groupBy("venue_id", counter(F.col("h1"))).agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need"))
-        .where(F.col("n") >= F.col("need")).select("venue_id", "counter")
+        _bitmaps(
+            counted.groupBy("venue_id", "counter").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need"))
+            .where(F.col("n") >= F.col("need")),
+            counters,
+        ).join(venues, "venue_id")
+    )
+    is_likely = lambda c: F.call_function("getbit", F.element_at("bits", F.floor(c / 64).cast("int") + 1), c % 64) == 1
+    kept = F.filter(
+        F.transform("runs", lambda c, i: F.when(is_likely(c), i)), lambda i: i.isNotNull()
+    )
+    texts = F.transform(kept, lambda i: F.array_join(F.slice("w", i + 1, PHRASE_WORDS), " "))
+    held = split(attach(rows, likely, ["venue_id"], "inner")).select(
+        "venue_id", "need", "gig", "listing_pos", F.size("w").alias("n_words"), F.explode(texts).alias("phrase")
     )
-    held = texts.select(
-        "venue_id", "need", "gig", "listing_pos", F.size("w").alias("n_words"), F.explode(phrases(F.col("w"))).alias("p")
-    ).select("*", counter(F.col("p.h1")))
     # identical rows are one gig: their phrases count once, however often they are listed
     repeats = durable(
-        attach(held, likely, ["venue_id", "counter"], "left_semi")
-        .groupBy("venue_id", "gig", "listing_pos", "p.h1", "p.h2")
+        held.groupBy("venue_id", "gig", "listing_pos", "phrase")
         .agg(F.count(F.lit(1)).alias("times"), F.max("need").alias("need"), F.max("n_words").alias("n_words"))
-        .groupBy("venue_id", "gig", "h1", "h2")
+        .groupBy("venue_id", "gig", "phrase")
         .agg(F.max("times").alias("times"), F.max("need").alias("need"), F.max("n_words").alias("n_words"),
              F.min("listing_pos").alias("listing_pos"))
     )
     shared = durable(
-        repeats.groupBy("venue_id", "h1", "h2").agg(F.count(F.lit(1)).alias("gigs"), F.max("need").alias("need"))
-        .where(F.col("gigs") >= F.col("need")).select("venue_id", "h1", "h2")
+        repeats.groupBy("venue_id", "phrase").agg(F.count(F.lit(1)).alias("gigs"), F.max("need").alias("need"))
+        .where(F.col("gigs") >= F.col("need")).select("venue_id", "phrase")
     )
-    covered = attach(repeats, shared, ["venue_id", "h1", "h2"], "left_semi").groupBy("venue_id", "gig").agg(
+    covered = attach(repeats, shared, ["venue_id", "phrase"], "left_semi").groupBy("venue_id", "gig").agg(
         F.sum("times").alias("times"), F.max("n_words").alias("n_words"), F.min("listing_pos").alias("listing_pos")
     )
     share = F.least(F.col("times") * PHRASE_WORDS, F.col("n_words")) / F.col("n_words")

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from listinglake.operators.quality import contamination, group_checks, text_checks
 from listinglake.operators.quality.batch import CLAIM, Batch, Check
-from listinglake.session import durable
+from listinglake.session import durable, side_by_side
 from listinglake.skew import attach
 
 # In the order in which checks speak for a gig.
@@ -27,10 +27,17 @@ CHECKS = [
 
 
 def claims_of(batch: Batch, checks: Sequence[Check] = CHECKS) -> DataFrame:
-    """What every check names, one row per problem and distinct gig, written once."""
+    """What every check names, one row per problem and distinct gig, written once.
+
+    The checks do not need each other, so their jobs run side by side.
+    """
+    found = side_by_side([partial(c.claims, batch) for c in checks])
     every = reduce(
         DataFrame.unionByName,
-        [c.claims(batch).select(F.lit(c.order).alias("check_ord"), F.lit(c.name).alias("check_name"), *CLAIM) for c in checks],
+        [
+            claims.select(F.lit(c.order).alias("check_ord"), F.lit(c.name).alias("check_name"), *CLAIM)
+            for c, claims in zip(checks, found, strict=True)
+        ],
     )
     return durable(
         every.groupBy("check_ord", "check_name", "venue_id", "problem", "gig")

@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 # What every job here relies on. A cluster's own settings for memory, shuffle partitions and
 # executors are left alone: AQE coalesces from whatever upper bound the cluster chose.
 SETTINGS = {
@@ -65,3 +71,11 @@ def durable(df: DataFrame) -> DataFrame:
     path = f"{working_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def side_by_side(steps: Sequence[Callable[[], T]]) -> list[T]:
+    """Run steps that do not depend on each other at once, so one's jobs fill the gaps of another's."""
+    if len(steps) < 2:
+        return [step() for step in steps]
+    with ThreadPoolExecutor(len(steps)) as pool:
+        return list(pool.map(lambda step: inheritable_thread_target(step)(), steps))

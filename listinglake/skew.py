@@ -31,13 +31,15 @@ def attach(
     how: str = "left",
     salts: int = SALTS,
     broadcast_rows: int = BROADCAST_ROWS,
+    summary_rows: int | None = None,
 ) -> DataFrame:
     """Join ``rows`` with ``summary``, which holds at most one row per key.
 
-    ``summary`` must be a durable table, so counting it reads file footers only.
+    ``summary`` must be a durable table, so counting it reads file footers only; a caller that
+    knows an upper bound of its rows passes it instead.
     """
     on = list(on)
-    if summary.count() <= broadcast_rows:
+    if (summary.count() if summary_rows is None else summary_rows) <= broadcast_rows:
         return rows.join(F.broadcast(summary), on, how)
     return salted_join(rows, summary, on, how, salts)
 
