@@ -97,16 +97,21 @@ def children(part: Column, node: Column) -> Column:
 
 def having(part: Column, s: Column, inner: Column) -> Column:
     """Matching nodes with a descendant that matches ``inner``."""
-    hits = select(part, inner)
-    return F.filter(
-        select(part, s),
-        lambda n: F.exists(hits, lambda h: (h["node_id"] > n["node_id"]) & (h["node_id"] <= n["end_id"])),
+    return once(
+        select(part, inner),
+        lambda hits: F.filter(
+            select(part, s),
+            lambda n: F.exists(hits, lambda h: (h["node_id"] > n["node_id"]) & (h["node_id"] <= n["end_id"])),
+        ),
     )
 
 
 def without(part: Column, removed: Column) -> Column:
     """``part`` less the removed nodes and all inside them."""
-    return F.filter(part, lambda n: ~F.exists(removed, lambda r: n["node_id"].between(r["node_id"], r["end_id"])))
+    return once(
+        removed,
+        lambda gone: F.filter(part, lambda n: ~F.exists(gone, lambda r: n["node_id"].between(r["node_id"], r["end_id"]))),
+    )
 
 
 def text_of(part: Column) -> Column:
@@ -139,18 +144,19 @@ def without_worded(part: Column, found: Column, pattern: Column) -> Column:
 
 def take_until(found: Column, part: Column, pattern: Column) -> Column:
     """Found nodes up to, not including, the first whose text matches."""
-    stop = F.array_min(
-        F.transform(F.filter(found, lambda n: F.rlike(text_of(within(part, n)), pattern)), lambda n: n["node_id"])
+    worded = lambda n: F.rlike(text_of(within(part, n)), pattern)
+    return once(
+        _first_id(F.filter(found, worded)), lambda stop: F.filter(found, lambda n: stop.isNull() | (n["node_id"] < stop))
     )
-    return F.filter(found, lambda n: stop.isNull() | (n["node_id"] < stop))
 
 
 def drop_until(found: Column, part: Column, tag: Column, pattern: Column) -> Column:
     """Found nodes from the first of that tag whose text matches; all of them without one."""
-    start = F.array_min(
-        F.transform(
-            F.filter(found, lambda n: (n["tag"] == tag) & F.rlike(text_of(within(part, n)), pattern)),
-            lambda n: n["node_id"],
-        )
+    worded = lambda n: (n["tag"] == tag) & F.rlike(text_of(within(part, n)), pattern)
+    return once(
+        _first_id(F.filter(found, worded)), lambda start: F.filter(found, lambda n: start.isNull() | (n["node_id"] >= start))
     )
-    return F.filter(found, lambda n: start.isNull() | (n["node_id"] >= start))
+
+
+def _first_id(found: Column) -> Column:
+    return F.array_min(F.transform(found, lambda n: n["node_id"]))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from listinglake.functions.once import once
 from listinglake.model import CLASSIFIED, GIG_FIELDS, KEY, METAL, OBSERVED, OTHER, PENDING, RENDERED, REPLACED, USER
 from listinglake.operators.inheritance import inherited_from
 from listinglake.sources.log import entries_of
@@ -125,9 +126,9 @@ def already_ingested(log: DataFrame, sources: DataFrame) -> DataFrame:
     A source may itself hold ``#``, so each observed url offers every prefix that ends before one;
     the prefixes join by equality.
     """
-    parts = F.split("url", "#")
-    prefixes = F.transform(
-        F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "#")
+    prefixes = once(
+        F.split("url", "#"),
+        lambda parts: F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "#")),
     )
     seen = (
         entries_of(log, OBSERVED).where(F.col("url").contains("#"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from listinglake.functions.once import once
 from listinglake.functions.text import not_blank, words
 from listinglake.operators.quality.batch import CLAIM, Batch, gig_print
 from listinglake.session import durable
@@ -18,9 +19,12 @@ COUNTERS = 4096
 
 def phrase_counters(found: Column, counters: int) -> Column:
     """The counter each run of six words falls into, in order; null for texts shorter than that."""
-    hashed = F.transform(found, lambda w: F.xxhash64(w))
     starts = F.sequence(F.lit(1), F.greatest(F.size(found) - PHRASE_WORDS + 1, F.lit(1)))
-    runs = F.transform(starts, lambda i: F.pmod(F.xxhash64(F.slice(hashed, i, PHRASE_WORDS)), F.lit(counters)).cast("int"))
+    counter = lambda run: F.pmod(F.xxhash64(run), F.lit(counters)).cast("int")
+    runs = once(
+        F.transform(found, lambda w: F.xxhash64(w)),
+        lambda hashed: F.transform(starts, lambda i: counter(F.slice(hashed, i, PHRASE_WORDS))),
+    )
     return F.when(F.size(found) >= PHRASE_WORDS, runs)
 
 
