@@ -77,5 +77,6 @@ def side_by_side(steps: Sequence[Callable[[], T]]) -> list[T]:
     """Run steps that do not depend on each other at once, so one's jobs fill the gaps of another's."""
     if len(steps) < 2:
         return [step() for step in steps]
+    inheriting = inheritable_thread_target(SparkSession.active())
     with ThreadPoolExecutor(len(steps)) as pool:
-        return list(pool.map(lambda step: inheritable_thread_target(step)(), steps))
+        return list(pool.map(lambda step: inheriting(step)(), steps))
