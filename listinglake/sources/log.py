@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from listinglake.model import CLASSIFIED, LOG_COLUMNS, LOG_JSON_SCHEMA, LOG_SCHEMA, OBSERVED, REPLACED
 from listinglake.operators.sequencing import assign_sequence
@@ -96,6 +99,13 @@ def entries_of(log: DataFrame, kind: str) -> DataFrame:
     return log.where(F.col("_type") == kind)
 
 
+def as_entries(rows: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Rows with every column of the log, those they lack null, and the columns in ``keep``."""
+    fields = StructType.fromDDL(LOG_SCHEMA).fields
+    column = lambda f: F.col(f.name) if f.name in rows.columns else F.lit(None)
+    return rows.select(*[column(f).cast(f.dataType).alias(f.name) for f in fields], *keep)
+
+
 def write_log(entries: DataFrame, path: str, mode: str = "append") -> None:
     entries.select(*LOG_COLUMNS).write.mode(mode).partitionBy("_type").parquet(path)
 
@@ -106,7 +116,7 @@ def append(log: DataFrame, batch: DataFrame, path: str, position: str = "positio
     The whole batch is refused when a number it brings along does not follow the one before it.
     """
     last = log.agg(F.max("seq")).first()[0]
-    numbered = assign_sequence(batch, position, -1 if last is None else last)
+    numbered = assign_sequence(as_entries(batch, [position]), position, -1 if last is None else last)
     wrong = numbered.where(~F.col("in_order")).select("seq").take(1)
     if wrong:
         raise ValueError(f"entry seq {wrong[0][0]} does not follow the entry before it")
