@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from listinglake.session import durable
 
-# A summary this short is at most a few tens of MB, whatever its keys are.
-BROADCAST_ROWS = 200_000
+# What one broadcast may hold; both are checked, since rows can be of any width.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 SALTS = 16
 # Rows of one group that a single window task handles.
 BLOCK_ROWS = 100_000
@@ -39,11 +39,18 @@ def attach(
     knows an upper bound of its rows passes it instead.
     """
     on = list(on)
-    if (summary.count() if summary_rows is None else summary_rows) <= broadcast_rows:
+    count = summary.count() if summary_rows is None else summary_rows
+    if count <= broadcast_rows and _bytes_of(summary) <= BROADCAST_BYTES:
         return rows.join(F.broadcast(summary), on, how)
     return salted_join(rows, summary, on, how, salts)
 
 
+def _bytes_of(summary: DataFrame) -> int:
+    """The table's size as text; only asked of tables known to have few rows."""
+    width = F.octet_length(F.to_json(F.struct(*[F.col(c) for c in summary.columns])))
+    return summary.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
+
+
 def salted_join(
     rows: DataFrame, summary: DataFrame, on: Sequence[str], how: str = "left", salts: int = SALTS
 ) -> DataFrame:

@@ -70,6 +70,4 @@ def with_venue_name(df: DataFrame) -> DataFrame:
 
 def unknown_venues(requested: DataFrame, known: DataFrame) -> DataFrame:
     """Requested venue ids that the known ones lack."""
-    return requested.select("venue_id").distinct().join(
-        F.broadcast(known.select("venue_id")), "venue_id", "left_anti"
-    )
+    return requested.select("venue_id").distinct().join(known.select("venue_id"), "venue_id", "left_anti")
