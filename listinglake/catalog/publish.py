@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from functools import partial
 
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from listinglake.functions.text import slug
 from listinglake.model import KEY
 from listinglake.operators import classification as c, posters, projections as p, publishing as pub, report
 from listinglake.operators.quality import gate
-from listinglake.session import durable, working_folder
+from listinglake.session import durable, side_by_side, working_folder
 from listinglake.sources import testviews as t
 
 TODAY = "2024-06-01"
@@ -269,7 +270,8 @@ def publish_delta(spark, sf):
     """The page against the one the log gave on an earlier day."""
     entries = t.log(spark, sf)
     before = entries.where(F.col("recorded_at") < F.lit(EARLIER).cast("timestamp_ntz"))
-    return pub.publish_delta(pub.cards(p.metal_gigs(entries), today()), pub.cards(p.metal_gigs(before), today()))
+    now, was = side_by_side([partial(p.metal_gigs, entries), partial(p.metal_gigs, before)])
+    return pub.publish_delta(pub.cards(now, today()), pub.cards(was, today()))
 
 
 @query("snapshot", _rec(*PAGE_STATE, f"SELECT {CARD}, '2024-06-01T12-00-00Z' AS snapshot FROM page"))

@@ -77,6 +77,8 @@ def lookalikes(listing: DataFrame, missing: DataFrame) -> DataFrame:
             asked.withColumnRenamed("words", "w").join(by_word, [*NIGHT, "word"])
             # sets too unlike in size cannot have enough in common
             .where(F.least(F.size("w"), F.size("words")) >= LEAST_SIMILAR * F.greatest(F.size("w"), F.size("words")) - 1e-9)
+            # two titles meet at each word they share, and are compared once
+            .groupBy(*NIGHT, "w", "words").agg(F.max("pick").alias("pick"))
             .withColumn("similarity", _similarity(F.col("w"), F.col("words")))
             .where(F.col("similarity") >= LEAST_SIMILAR),
             [*NIGHT, "w"],

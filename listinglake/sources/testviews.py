@@ -14,20 +14,20 @@ from listinglake.model import LOG_COLUMNS
 from listinglake.venues import VENUE_IDS
 
 
-# Tables of long texts, with the key their rows are spread by on a local master.
-_TEXTS = {"documents": "doc_id", "pages": "page_id"}
+# The largest tables, with the key their rows are spread by on a local master.
+_LARGE = {"documents": "doc_id", "pages": "page_id", "lineitem": "l_orderkey"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables.
 
     They are single files of one row group, which a local run would read and parse in one task, so
-    there the long texts are dealt out to the cores first. A cluster reads many files as they are.
+    there the large ones are dealt out to the cores first. A cluster reads many files as they are.
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     context = spark.sparkContext
-    if name in _TEXTS and context.master.startswith("local"):
-        return df.repartition(context.defaultParallelism, _TEXTS[name])
+    if name in _LARGE and context.master.startswith("local"):
+        return df.repartition(context.defaultParallelism, _LARGE[name])
     return df
 
 
