@@ -8,12 +8,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from listinglake.catalog.registry import query, with_ctes
-from listinglake.model import CLASSIFIED, GIG_FIELDS, KEY, KINDS, LOG_COLUMNS, LOG_JSON_SCHEMA, OBSERVED, RENDERED, REPLACED
+from listinglake.model import CLASSIFIED, GIG_FIELDS, KEY, KINDS, OBSERVED, RENDERED, REPLACED
 from listinglake.operators import compaction, projections as p
 from listinglake.operators.sequencing import assign_sequence
 from listinglake.session import durable, working_folder
 from listinglake.sources import log as log_source
-from listinglake.sources.testviews import LOG_SQL, listing, log, table
+from listinglake.sources.testviews import LOG_SQL, log, table
 from listinglake.venues import VENUES, unknown_venues, venues, with_venue_name
 
 KEYS = "venue_id, url"
@@ -34,7 +34,6 @@ USERS_SQL = "users AS (SELECT DISTINCT venue_id, url FROM log WHERE _type = 'cla
 
 def walk_sql(known: str, name: str) -> str:
     """Recursive walk from each replacing key outside ``known`` to the first member of it."""
-    is_known = f"(old_venue, old_url) IN (SELECT (venue_id, url) FROM {known})".replace("SELECT (venue_id, url)", "SELECT venue_id, url")
     return f"""{name}_walk(venue_id, url, old_venue, old_url, depth) AS (
   SELECT venue_id, url, old_venue, old_url, 1 FROM edges
   WHERE NOT EXISTS (SELECT 1 FROM {known} k WHERE k.venue_id = edges.venue_id AND k.url = edges.url)

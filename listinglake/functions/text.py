@@ -27,6 +27,12 @@ def utf16_length(text: Column) -> Column:
     return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
 
 
+def longer_than(text: Column, limit: int) -> Column:
+    """More than ``limit`` UTF-16 units; only texts near the limit are encoded to tell."""
+    n = F.length(text)
+    return (n > limit) | ((n * 2 > limit) & (utf16_length(text) > limit))
+
+
 def words(text: Column) -> Column:
     """Words between runs of ASCII white space."""
     # most words open with a printing ASCII character, which saves them the pattern
@@ -53,7 +59,7 @@ def similarity_words(title: Column) -> Column:
 
     Longer words are the rarer ones, which keeps the prefixes that index a title selective.
     """
-    found = F.array_distinct(F.filter(F.split(F.lower(title), r"[^\p{L}\p{N}]+"), lambda w: utf16_length(w) > 2))
+    found = F.array_distinct(F.filter(F.split(F.lower(title), r"[^\p{L}\p{N}]+"), lambda w: longer_than(w, 2)))
     keyed = F.transform(found, lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))
     return F.transform(F.array_sort(keyed), lambda s: s["w"])
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listinglake.classify_rates import TEXT_MODEL, VISION_MODEL, rates
-from listinglake.functions.text import not_blank, stripped, utf16_length
+from listinglake.functions.text import longer_than, not_blank, stripped
 from listinglake.model import CLASSIFIED, KEY, LLM, METAL, OTHER
 
 # Fixed value: a description shorter than this is judged from the poster.
@@ -27,7 +27,7 @@ def to_classify(
 
 
 def use_vision(description: Column) -> Column:
-    return utf16_length(description) < THIN_TEXT
+    return ~longer_than(description, THIN_TEXT - 1)
 
 
 def routed(gigs: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from listinglake.functions.text import is_blank, utf16_length
+from listinglake.functions.text import is_blank, longer_than, utf16_length
 from listinglake.operators.quality.batch import CLAIM, Batch
 
 # Limits in characters.
@@ -26,13 +26,13 @@ def misshapen_reason() -> Column:
     description = F.col("description")
     chars = lambda what, n: F.concat(F.lit(f"{what} of "), n.cast("string"), F.lit(" chars"))
     return (
-        F.when(utf16_length(F.col("title")) > MAX_TITLE, chars("title", utf16_length(F.col("title"))))
+        F.when(longer_than(F.col("title"), MAX_TITLE), chars("title", utf16_length(F.col("title"))))
         .when(is_blank(description), F.lit("no description"))
         .when(
             description.startswith("{") | description.rlike(BOILERPLATE),
             F.lit("description is a cookie or bot wall, not gig copy"),
         )
-        .when(utf16_length(description) > MAX_DESCRIPTION, chars("description", utf16_length(description)))
+        .when(longer_than(description, MAX_DESCRIPTION), chars("description", utf16_length(description)))
     )
 
 

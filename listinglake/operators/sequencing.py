@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from listinglake.session import durable
-from listinglake.skew import BLOCK_ROWS, attach, carry_forward
+from listinglake.skew import attach, carry_forward
+
+# Entries that one window task numbers; a batch of 10^12 leaves a million blocks to add up.
+BLOCK_ROWS = 1_000_000
 
 
 def assign_sequence(
@@ -34,7 +37,7 @@ def assign_sequence(
         F.max("_unnumbered").alias("n"),
         F.max(F.when(F.col("seq").isNotNull(), F.struct(F.col(position), F.col("seq").alias("s"), F.col("_unnumbered").alias("u")))).alias("base"),
     )
-    # one row per block, a hundred thousand times fewer than entries
+    # one row per block, a million times fewer than entries
     earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     running = folds.withColumn("_total", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     carried = F.when(

@@ -202,7 +202,7 @@ API_RULES = (
 )
 
 
-def _row(rule: dict, schema: str) -> tuple:
+def rule_row(rule: dict, schema: str) -> tuple:
     """A rule in schema order, its selectors completed with nulls."""
     full = lambda s: tuple(s.get(p) for p in _PARTS)
 
@@ -222,11 +222,11 @@ def _fields(schema: str):
 
 
 def card_rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([_row(r, CARD_SCHEMA) for r in CARD_RULES], CARD_SCHEMA)
+    return spark.createDataFrame([rule_row(r, CARD_SCHEMA) for r in CARD_RULES], CARD_SCHEMA)
 
 
 def copy_rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([_row(r, COPY_SCHEMA) for r in COPY_RULES], COPY_SCHEMA)
+    return spark.createDataFrame([rule_row(r, COPY_SCHEMA) for r in COPY_RULES], COPY_SCHEMA)
 
 
 def api_rules(spark: SparkSession) -> DataFrame:
