@@ -23,13 +23,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listinglake.functions.once import once
+from listinglake.llm.common import stored
 from listinglake.llm.tokens import REMEMBERED, splitter
 
 # Words in the dictionary, which is what every task holds.
 DICTIONARY = 49_152
 # Distinct words that one task counts before it forgets those it has seen once.
 COUNTED = 400_000
-BUCKETS = 65_536
+BUCKETS = 16_384
 NO_RANK = 1 << 30
 
 
@@ -90,9 +91,12 @@ def merge_pieces(word: Column, literal: Column) -> Column:
 
 def encode_words(words: DataFrame, ranks: dict[bytes, int], word: str = "word") -> DataFrame:
     """``words`` with ``ids``, by the fold; a whole word that is a token keeps its rank, as any word must."""
-    literal = rank_map(ranks)
-    pieces = merge_pieces(F.col(word).cast("binary"), literal)
-    return words.withColumn("ids", F.transform(pieces, lambda p: rank_of(literal, p)))
+
+    def fold(literal: Column) -> Column:
+        return F.transform(merge_pieces(F.col(word).cast("binary"), literal), lambda p: rank_of(literal, p))
+
+    # named once, so that the plan holds the map once
+    return words.withColumn("ids", once(rank_map(ranks), fold))
 
 
 def word_counts(docs: DataFrame, pattern: str, text: str) -> DataFrame:
@@ -117,9 +121,18 @@ def word_counts(docs: DataFrame, pattern: str, text: str) -> DataFrame:
 def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", size: int = DICTIONARY) -> dict[str, bytes]:
     """Ids of the ``size`` most frequent words, as little-endian 32-bit integers; bounded by ``size``."""
     frequent = word_counts(docs, pattern, text).orderBy(F.desc("n"), "word").limit(size)
-    parts = docs.sparkSession.sparkContext.defaultParallelism * 4
-    folded = encode_words(frequent.select("word").repartition(parts, "word"), ranks)
-    return {r.word: np.asarray(r.ids, dtype="<u4").tobytes() for r in folded.collect()}
+    spark = docs.sparkSession
+    frequent = stored(frequent.select("word"))
+    parts = spark.sparkContext.defaultParallelism * 4
+    # plan descriptions would spell the map out, once for every change of the plan
+    setting = "spark.sql.maxPlanStringLength"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "20000")
+    try:
+        folded = encode_words(frequent.repartition(parts, "word"), ranks).collect()
+    finally:
+        spark.conf.set(setting, before)
+    return {r.word: np.asarray(r.ids, dtype="<u4").tobytes() for r in folded}
 
 
 def encode(
