@@ -187,31 +187,95 @@ def shared_lines(page: tuple, before: tuple | None, after: tuple | None) -> list
     return common_lines(page[2], nearest[2])
 
 
-def parsed(pages: DataFrame, id_col: str, url: str, page: str) -> DataFrame:
-    from xxhash import xxh64_intdigest
+# Neighbouring pages that are aligned in one group.
+BLOCK_PAGES = 1000
 
-    picked = pages.select(F.col(id_col).alias("page_id"), F.col(url).alias("url"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(page), F.lit("")).alias("html"))
-    names = ["page_id", "url", "row", "lines", "kinds", "prints"]
+
+def _parsed(pages: DataFrame, id_col: str, url: str, page: str, prints: bool) -> DataFrame:
+    """The lines of every page: their prints, or their text.
+
+    ``key`` names a row by its id, url and html; equal rows share it and have the same lines. With
+    ``prints``: (url, key, prints). Else (page_id, url, key, article, open): the article's text, null
+    without one, and the undecided lines of a page without.
+    """
+    from xxhash import xxh3_128_digest, xxh64_intdigest
+
+    picked = pages.select(F.col(id_col).alias("page_id"), F.col(url).alias("url"), F.to_json(F.struct(F.col(id_col).alias("i"), F.col(url).alias("u"))).alias("named"), F.coalesce(F.col(page), F.lit("")).alias("html"))
+    names = ["url", "key", "prints"] if prints else ["page_id", "url", "key", "article", "open"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines = [lines_of(x.as_py()) for x in batch.column(3)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *batch.columns[:3],
-                    pa.array([[t for t, _ in x] for x in lines], pa.list_(pa.string())),
-                    pa.array([[k for _, k in x] for x in lines], pa.list_(pa.int32())),
-                    pa.array([[xxh64_intdigest(t.encode("utf-8", "replace")) - (1 << 63) for t, _ in x] for x in lines], pa.list_(pa.int64())),
-                ],
-                names,
-            )
-
-    schema = picked.select(
-        "page_id", "url", "row", F.lit(None).cast("array<string>").alias("lines"), F.lit(None).cast("array<int>").alias("kinds"), F.lit(None).cast("array<long>").alias("prints")
-    ).schema
+            keys, first, second = [], [], []
+            for named, text in zip(batch.column(2), batch.column(3)):
+                text = text.as_py()
+                keys.append(xxh3_128_digest(f"{named.as_py()}\n{text}".encode()))
+                lines = lines_of(text)
+                if prints:
+                    first.append([xxh64_intdigest(t.encode("utf-8", "replace")) - (1 << 63) for t, _ in lines])
+                else:
+                    article = any(kind == TEXT for _, kind in lines)
+                    first.append(" ".join(t for t, kind in lines if kind == TEXT) if article else None)
+                    second.append([] if article else [t for t, _ in lines])
+            made = [pa.array(keys, pa.binary())]
+            made += [pa.array(first, pa.list_(pa.int64()))] if prints else [pa.array(first, pa.string()), pa.array(second, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(1), *made] if prints else [batch.column(0), batch.column(1), *made], names)
+
+    key, text = F.lit(None).cast("binary").alias("key"), F.lit(None).cast("string").alias("article")
+    if prints:
+        schema = picked.select("url", key, F.lit(None).cast("array<long>").alias("prints")).schema
+    else:
+        schema = picked.select("page_id", "url", key, text, F.lit(None).cast("array<string>").alias("open")).schema
     return picked.mapInArrow(run, schema)
 
 
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, shared) of the pages of each block, which come in order; edges of other blocks only help."""
+    held: list[tuple] = []
+
+    def settle(before, page, after):
+        if page is not None and not page[5]:
+            view = lambda x: None if x is None or x[0] != page[0] else x[2:5]
+            return page[1], shared_lines(view(page), view(before), view(after))
+        return None
+
+    def batch_of(found):
+        found = [f for f in found if f is not None]
+        return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.list_(pa.int32()))], ["key", "shared"])
+
+    for batch in batches:
+        found = []
+        for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            held.append(row)
+            if len(held) == 3:
+                found.append(settle(*held))
+                held = held[1:]
+            elif len(held) == 2:
+                found.append(settle(None, *held))
+        yield batch_of(found)
+    if held:
+        yield batch_of([settle(held[-2] if len(held) > 1 else None, held[-1], None)])
+
+
+def differences(pages: DataFrame, id_col: str, url: str, page: str) -> DataFrame:
+    """(key, shared): the positions of the lines every page shares with the nearest page of its host.
+
+    Prints of lines travel, not the lines. Pages are numbered along (host, path) by a range sort and
+    aligned in blocks of consecutive numbers; the pages at a block's ends go to the next block too.
+    """
+    read = stored(_parsed(pages, id_col, url, page, prints=True))
+    bare = F.regexp_replace(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://|[?#].*$", "")
+    host = F.lower(F.regexp_extract(bare, r"^[^/]*", 0))
+    path = F.regexp_replace(F.regexp_replace(bare, r"^[^/]*", ""), r"/$|\.html?$", "")
+    ordered = read.select("key", host.alias("host"), path.alias("path"), "prints").orderBy("host", "path", "key")
+    block = F.floor(F.col("place") / BLOCK_PAGES)
+    at = F.col("place") % BLOCK_PAGES
+    blocks = F.when(at == 0, F.array(block, block - 1)).when(at == BLOCK_PAGES - 1, F.array(block, block + 1)).otherwise(F.array(block))
+    dealt = numbered(ordered, "place").withColumn("block", F.explode(blocks)).select(
+        "block", "key", "host", "path", "prints", (F.col("block") != block).alias("edge"), "place"
+    )
+    return dealt.repartition("block").sortWithinPartitions("block", "place").mapInArrow(_aligned, "key binary, shared array<int>")
+
+
 def main_text(pages: DataFrame, id_col: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """page_id, url, text, n_chars and n_shared (lines in common with the nearest page) per row.
 
@@ -220,29 +284,10 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url: str = "url", page:
     null url belongs to a host without a name; repeated rows repeat and copies of a page tell it
     nothing; other columns are ignored; an empty table gives an empty result.
     """
-    read = stored(parsed(pages, id_col, url, page))
-    bare = F.regexp_replace(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://|[?#].*$", "")
-    host = F.lower(F.regexp_extract(bare, r"^[^/]*", 0))
-    path = F.regexp_replace(F.regexp_replace(bare, r"^[^/]*", ""), r"/$|\.html?$", "")
-    ordered = read.select("row", host.alias("host"), path.alias("path"), "prints").orderBy("host", "path", "row")
-    placed = stored(numbered(ordered, "place"))
-    view = F.struct("host", "path", "prints")
-    earlier = placed.select((F.col("place") + 1).alias("place"), view.alias("before"))
-    later = placed.select((F.col("place") - 1).alias("place"), view.alias("after"))
-    met = placed.select("place", "row", view.alias("page")).join(earlier, "place", "left").join(later, "place", "left").select("row", "page", "before", "after")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def tupled(x):
-            return None if x is None else (x["host"], x["path"], x["prints"])
-
-        for batch in batches:
-            shared = [shared_lines(*map(tupled, three)) for three in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared, pa.list_(pa.int32()))], ["row", "shared"])
-
-    shared = met.mapInArrow(run, "row long, shared array<int>")
-    joined = read.select("page_id", "url", "row", "lines", "kinds").join(shared, "row")
-    article = F.filter("lines", lambda t, i: F.get("kinds", i) == TEXT)
-    rest = F.array_except(F.sequence(F.lit(0), F.size("lines")), F.col("shared"))
-    own = F.transform(F.filter(rest, lambda i: i < F.size("lines")), lambda i: F.get("lines", i))
-    text = F.array_join(F.when(F.array_contains("kinds", TEXT), article).otherwise(own), " ")
+    # equal rows have equal lines, whose neighbours may differ: the row with most in common decides
+    found = F.max(F.struct(F.size("shared").alias("n"), "shared"))["shared"]
+    shared = differences(pages, id_col, url, page).groupBy("key").agg(found.alias("shared"))
+    joined = _parsed(pages, id_col, url, page, prints=False).join(shared, "key")
+    own = F.filter("open", lambda t, i: ~F.array_contains("shared", i))
+    text = F.coalesce("article", F.array_join(own, " "))
     return joined.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"), F.size("shared").alias("n_shared"))

@@ -61,6 +61,7 @@ def test_pages_without_article(spark):
             (None, None, None), (4, "http://solo/", page("alone")), (5, "http://big/1", page(*map(str, range(20_000)))), (6, "http://big/2", page(*map(str, range(0, 20_000, 2))))]
     pages = spark.createDataFrame([(*r, "c") for r in rows], "page_id long, url string, html string, text string")
     got = sorted(((r.page_id, r.text) for r in main_text(pages).collect()), key=str)
-    want = [(1, "x é"), (2, "top y end"), (2, "y"), (None, ""), (4, "alone"), (5, " ".join(map(str, range(1, 20_000, 2)))), (6, "")]
+    # equal rows get equal text
+    want = [(1, "x é"), (2, "y"), (2, "y"), (None, ""), (4, "alone"), (5, " ".join(map(str, range(1, 20_000, 2)))), (6, "")]
     assert got == sorted(want, key=str)
     assert main_text(pages.limit(0)).count() == 0
