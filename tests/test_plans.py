@@ -1,5 +1,6 @@
 """What the plans look like, how the packages depend on each other, and the registry."""
 
+import sys
 import ast
 from pathlib import Path
 
@@ -59,7 +60,23 @@ def test_entry(spark):
 
 
 def test_registry():
-    assert set(driver.queries()) == set(QUERIES) and set(driver.oracle_sql()) == set(ORACLES) <= set(QUERIES)
+    more = set(driver.queries()) - set(QUERIES)
+    assert set(QUERIES) <= set(driver.queries()) and all(n == "pipeline" or n.startswith("op") for n in more)
+    assert set(ORACLES) <= set(driver.oracle_sql()) <= set(driver.queries()) and set(ORACLES) <= set(QUERIES)
+
+
+@pytest.mark.parametrize("gone", ["corpus_pipeline", "listinglake.llm.queries", "listinglake.llm"])
+def test_registry_without_the_llm_subpackage(monkeypatch, gone):
+    for name in [m for m in sys.modules if m == "corpus_pipeline" or m.startswith("listinglake.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, gone, None)
+    assert set(driver.queries()) == set(QUERIES) and set(driver.oracle_sql()) == set(ORACLES)
+
+
+def test_nothing_else_imports_the_llm_subpackage():
+    for path in ROOT.rglob("*.py"):
+        if "llm" not in path.relative_to(ROOT).parts:
+            assert not [m for m in imports_of(path) if m.startswith("listinglake.llm")], path
 
 
 @pytest.mark.parametrize("name", ["current_gigs", "class_status", "page_rows", "chk_shared_desc", "dom_text", "date_group_cards"])
