@@ -22,7 +22,13 @@ def first_line():
     return F.element_at(F.split("text", "\n"), 1)
 
 
-TITLED_SQL = "titled AS (SELECT doc_id, n_chars, split_part(text, chr(10), 1) AS line FROM documents)"
+# every line of every text is a title
+TITLED_SQL = "titled AS (SELECT doc_id, n_chars, unnest(string_split(text, chr(10))) AS line FROM documents)"
+
+
+def titled(spark, sf):
+    return docs(spark, sf).select("doc_id", "n_chars", F.explode(F.split("text", "\n")).alias("line"))
+
 
 # --- text -------------------------------------------------------------------------------------
 
@@ -30,8 +36,8 @@ TITLED_SQL = "titled AS (SELECT doc_id, n_chars, split_part(text, chr(10), 1) AS
 @query("title_norm", with_ctes(TITLED_SQL, r"SELECT doc_id, trim(regexp_replace(chr(8239) || replace(line, ' ', chr(160) || ' ') || chr(9) || ' ', '\p{Zs}+', ' ', 'g'), ' ') AS title FROM titled"))
 def title_norm(spark, sf):
     """Titles with narrow and no-break spaces put in; the tab at the end has to survive."""
-    messy = F.concat(F.lit(" "), F.replace(first_line(), F.lit(" "), F.lit("  ")), F.lit("\t "))
-    return docs(spark, sf).select("doc_id", x.title_spacing(messy).alias("title"))
+    messy = F.concat(F.lit(" "), F.replace(F.col("line"), F.lit(" "), F.lit("  ")), F.lit("\t "))
+    return titled(spark, sf).select("doc_id", x.title_spacing(messy).alias("title"))
 
 
 _SPOILT_SQL = """spoilt AS (SELECT doc_id, CASE n_chars % 6 WHEN 0 THEN line WHEN 1 THEN line || chr(8203) || chr(9) || 'x' || chr(9) WHEN 2 THEN ' ' || line
@@ -42,18 +48,20 @@ _SPOILT_SQL = """spoilt AS (SELECT doc_id, CASE n_chars % 6 WHEN 0 THEN line WHE
     WHEN regexp_matches(title, '[\x00-\x1f\x7f-\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}\x{{200b}}-\x{{200d}}\x{{feff}}\x{{ad}}]') THEN 'odd'
     WHEN title <> trim(title, ' ') OR contains(title, '  ') THEN 'spacing' END AS problem FROM spoilt"""))
 def title_valid(spark, sf):
-    line, n = first_line(), F.col("n_chars") % 6
+    line, n = F.col("line"), F.col("n_chars") % 6
     title = (
         F.when(n == 0, line).when(n == 1, F.concat(line, F.lit("​\tx\t"))).when(n == 2, F.concat(F.lit(" "), line))
         .when(n == 3, F.lit("  ")).when(n == 4, F.concat(F.lit("­"), line)).otherwise(F.replace(line, F.lit(" "), F.lit("  ")))
     )
-    return docs(spark, sf).select("doc_id", x.title_problem(title).alias("problem"))
+    return titled(spark, sf).select("doc_id", x.title_problem(title).alias("problem"))
 
 
-@query("not_blank", f"SELECT conv_id, turn, NOT ({BLANK.format('shown')}) AS not_blank FROM (SELECT *, CASE WHEN turn % 3 = 0 THEN chr(160) || chr(10) ELSE text END AS shown FROM conversations)")
+@query("not_blank", f"SELECT conv_id, turn, NOT ({BLANK.format('shown')}) AS not_blank FROM (SELECT *, text AS shown FROM conversations UNION ALL SELECT *, chr(160) || chr(10) FROM conversations WHERE turn % 3 = 0)")
 def not_blank(spark, sf):
-    shown = F.when(F.col("turn") % 3 == 0, F.lit(" \n")).otherwise(F.col("text"))
-    return t.table(spark, sf, "conversations").select("conv_id", "turn", x.not_blank(shown).alias("not_blank"))
+    """Every turn's text, and a blank one more for every third turn."""
+    said = t.table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("shown"))
+    blank = said.where(F.col("turn") % 3 == 0).withColumn("shown", F.lit("\u00a0\n"))
+    return said.unionByName(blank).select("conv_id", "turn", x.not_blank(F.col("shown")).alias("not_blank"))
 
 
 @query("title_cancel", with_ctes(t.LOG_SQL, "SELECT seq, title || CASE WHEN description = '' THEN ' - CANCELLED' ELSE '' END AS title FROM log WHERE _type = 'observed'"))
@@ -317,10 +325,16 @@ def fetched_pages(spark, sf):
 
 @query("page_concat", with_ctes(FETCHED_SQL, """ends AS (SELECT venue_id, min(page_no) AS e FROM (
     SELECT venue_id, page_no FROM fetched WHERE items = 0
-    UNION ALL SELECT venue_id, page_no FROM fetched f WHERE page_no > 0 AND NOT EXISTS (SELECT 1 FROM fetched g WHERE g.venue_id = f.venue_id AND g.page_no = f.page_no - 1)) GROUP BY 1)
-  SELECT venue_id, page_no, items FROM fetched LEFT JOIN ends USING (venue_id) WHERE page_no < least(10, coalesce(e, 10))"""))
+    ) GROUP BY 1),
+  used AS (SELECT venue_id, page_no, items FROM fetched LEFT JOIN ends USING (venue_id) WHERE e IS NULL OR page_no < e)
+  SELECT venue_id, page_no, items, NULL AS error FROM used
+  UNION ALL SELECT venue_id, page_no - 1, NULL, 'Page ' || (page_no - 1) || ' is missing' FROM used u
+    WHERE page_no > 0 AND NOT EXISTS (SELECT 1 FROM fetched g WHERE g.venue_id = u.venue_id AND g.page_no = u.page_no - 1)"""))
 def page_concat(spark, sf):
-    return listings.pages_in_use(fetched_pages(spark, sf), 10).select("venue_id", "page_no", "items")
+    """Every page before its venue's first empty one, and the pages missing on the way."""
+    used = listings.pages_in_use(fetched_pages(spark, sf))
+    missing = listings.missing_pages(used).withColumn("items", F.lit(None).cast("bigint"))
+    return used.select("venue_id", "page_no", "items", F.lit(None).cast("string").alias("error")).unionByName(missing)
 
 
 GUIDE_SQL = with_ctes(FETCHED_SQL, "guide AS (SELECT venue_id, page_no, 202600 + total % 12 + page_no AS last_month FROM fetched)")

@@ -376,10 +376,10 @@ def poster_ingest(spark, sf):
     return entries.select("_type", "venue_id", "url", "title", "genre")
 
 
-@query("slug", with_ctes("titled AS (SELECT doc_id, split_part(text, chr(10), 1) AS title FROM documents)", f"SELECT doc_id, {_SLUG} AS slug FROM titled"))
+@query("slug", with_ctes("titled AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS title FROM documents)", f"SELECT doc_id, {_SLUG} AS slug FROM titled"))
 def slugs(spark, sf):
-    first = F.element_at(F.split("text", "\n"), 1)
-    return t.table(spark, sf, "documents").select("doc_id", slug(first).alias("slug"))
+    lines = t.table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.select("doc_id", slug(F.col("line")).alias("slug"))
 
 
 @query("size_cap", "SELECT page_id, octet_length(encode(html)) <= 7000000 AS fits FROM pages")

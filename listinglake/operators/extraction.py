@@ -65,7 +65,7 @@ def card_rows(pages: DataFrame, rules: DataFrame, keep: Sequence[str] = ()) -> D
     fields = card.select(
         *keep, "venue_id", F.col("url").alias("page_url"), "page_no", "under", "title_first", "tidy_title", "date_attr", "date_kind",
         "date_pattern", "century", "year_rule", "poster_kind", "house_image", "distinct_links",
-        "item_no", "max_pages", page_position(F.col("page_no"), F.coalesce("item_no", F.lit(0))).alias("listing_pos"),
+        "item_no", page_position(F.col("page_no"), F.coalesce("item_no", F.lit(0))).alias("listing_pos"),
         link.alias("link_nodes"), pick("link_fallback").alias("fallback_nodes"),
         pick("title").alias("title_nodes"), pick("date_at").alias("date_nodes"), pick("month").alias("month_nodes"),
         pick("day").alias("day_nodes"), pick("poster").alias("poster_nodes"), pick("card_copy").alias("copy_nodes"),
@@ -95,20 +95,17 @@ def card_rows(pages: DataFrame, rules: DataFrame, keep: Sequence[str] = ()) -> D
         .withColumn("day", F.regexp_extract(text("day_nodes"), r"(\d{1,2})", 1).try_cast("int"))
         .withColumn("poster", _poster())
         .withColumn("card_copy", F.when(F.col("has_card_copy"), text("copy_nodes")))
-        .select(*keep, "venue_id", "page_no", "item_no", "max_pages", "listing_pos", "url", "under", "title", "date", "month", "day",
+        .select(*keep, "venue_id", "page_no", "item_no", "listing_pos", "url", "under", "title", "date", "month", "day",
                 "year_rule", "poster", "house_image", "card_copy", "distinct_links")
     )
-    return walked(read).drop("page_no", "item_no", "max_pages")
+    return walked(read).drop("page_no", "item_no")
 
 
 def walked(read: DataFrame) -> DataFrame:
-    """Cards of the pages before the first without any, within the source's cap."""
-    pages = durable(
-        read.groupBy("venue_id", "page_no")
-        .agg(F.count("item_no").alias("items"), F.coalesce(F.max("max_pages"), F.lit(1 << 30)).alias("cap"))
-    )
-    used = durable(pages_in_use(pages, F.col("cap")).select("venue_id", "page_no"))
-    return attach(read.where(F.col("item_no").isNotNull()), used, ["venue_id", "page_no"], "left_semi")
+    """Cards of the pages before the first without any; ``after_gap`` marks those behind a missing page."""
+    pages = durable(read.groupBy("venue_id", "page_no").agg(F.count("item_no").alias("items")))
+    used = durable(pages_in_use(pages).select("venue_id", "page_no", "after_gap"))
+    return attach(read.where(F.col("item_no").isNotNull()), used, ["venue_id", "page_no"], "inner")
 
 
 def _date(text: Column) -> Column:
@@ -248,9 +245,11 @@ def page_copy(event_pages: DataFrame, rules: DataFrame) -> DataFrame:
 def with_errors(rows: DataFrame) -> DataFrame:
     """Say what is wrong with each row; the first reason wins."""
     prefixes = F.array_join("under", " or ")
+    after_gap = F.col("after_gap") if "after_gap" in rows.columns else F.lit(False)
     return rows.withColumn(
         "error",
         F.when(~u.is_under(F.col("url"), F.col("under")), F.concat(F.lit("Gig url "), "url", F.lit(" isn't under "), prefixes))
+        .when(after_gap, F.lit("A page of the listing is missing"))
         .when(title_problem(F.col("title")).isNotNull(), F.concat(F.lit("Title refused: "), title_problem(F.col("title"))))
         .when(F.col("date").isNull(), F.concat(F.lit("No date for "), "url"))
         .when(F.col("poster_url").isNull(), F.concat(F.lit("No poster for "), "url"))

@@ -65,25 +65,29 @@ def page_position(page_no: Column, item_no: Column) -> Column:
     return F.shiftleft(page_no.cast("bigint"), 32) + item_no
 
 
-def pages_in_use(pages: DataFrame, max_pages: int | Column) -> DataFrame:
-    """Pages (``venue_id, page_no`` from 0, ``items``) a walk would have read before it stopped.
+def pages_in_use(pages: DataFrame) -> DataFrame:
+    """All pages (``venue_id, page_no`` from 0, ``items``) before their venue's first page without items.
 
-    It stops at the first page without items, at a page that is not there, or after ``max_pages``.
+    How far a crawler may go is its own affair: what it has fetched is read. ``after_gap`` marks
+    a page whose predecessor is not there, which is a failure of its venue.
     """
-    cap = F.lit(max_pages) if isinstance(max_pages, int) else max_pages
     ends = durable(
         pages.where(F.col("items") == 0).groupBy("venue_id").agg(F.min("page_no").alias("first_empty"))
     )
-    # a page follows only from the one before it: the first gap ends the walk as well
-    before = pages.select("venue_id", (F.col("page_no") + 1).alias("page_no"))
-    gaps = durable(
-        pages.where(F.col("page_no") > 0).join(before, ["venue_id", "page_no"], "left_anti")
-        .groupBy("venue_id").agg(F.min("page_no").alias("first_gap"))
+    kept = attach(pages, ends, ["venue_id"]).where(F.col("first_empty").isNull() | (F.col("page_no") < F.col("first_empty")))
+    before = pages.select("venue_id", (F.col("page_no") + 1).alias("page_no"), F.lit(True).alias("_led"))
+    return (
+        kept.drop("first_empty").join(before, ["venue_id", "page_no"], "left")
+        .withColumn("after_gap", (F.col("page_no") > 0) & F.col("_led").isNull()).drop("_led")
+    )
+
+
+def missing_pages(used: DataFrame) -> DataFrame:
+    """The page missing before each page in use that has none before it, with its venue's failure."""
+    number = F.col("page_no") - 1
+    return used.where("after_gap").select(
+        "venue_id", number.cast("int").alias("page_no"), F.concat(F.lit("Page "), number.cast("string"), F.lit(" is missing")).alias("error")
     )
-    kept = attach(attach(pages.where(F.col("page_no") < cap), ends, ["venue_id"]), gaps, ["venue_id"])
-    return kept.where(
-        (F.col("page_no") < F.coalesce("first_empty", cap)) & (F.col("page_no") < F.coalesce("first_gap", cap))
-    ).drop("first_empty", "first_gap")
 
 
 def stalled_pages(guide: DataFrame) -> DataFrame:

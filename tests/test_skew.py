@@ -74,7 +74,9 @@ def test_first_copy_wins(spark):
     assert rows(listings.dedupe_first(table, ["venue_id", "url"]), "title") == [("first",), ("only",), ("other",)]
 
 
-def test_pages_end_at_a_gap_an_empty_page_or_the_cap(spark):
+def test_pages_end_at_an_empty_page_alone(spark):
     pages = [("a", i, 1) for i in range(15)] + [("b", 0, 2), ("b", 1, 0), ("b", 2, 5)] + [("c", 0, 1), ("c", 2, 1)] + [("d", 1, 1)]
     table = spark.createDataFrame(pages, "venue_id string, page_no int, items int")
-    assert rows(listings.pages_in_use(table, 10), "venue_id", "page_no") == sorted([("a", i) for i in range(10)] + [("b", 0), ("c", 0)], key=str)
+    used = listings.pages_in_use(table)
+    assert rows(used, "venue_id", "page_no") == sorted([("a", i) for i in range(15)] + [("b", 0), ("c", 0), ("c", 2), ("d", 1)], key=str)
+    assert rows(listings.missing_pages(used)) == [("c", 1, "Page 1 is missing"), ("d", 0, "Page 0 is missing")]
