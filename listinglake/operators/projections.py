@@ -153,7 +153,8 @@ def due_venues(venues: DataFrame, last: DataFrame, now: Column, force: bool = Fa
 
 def override_batch(current: DataFrame, overrides: DataFrame) -> tuple[DataFrame, DataFrame]:
     """User verdicts for current gigs named by url, and the overrides that name none."""
-    by_url = current.groupBy("url").agg(F.min("venue_id").alias("venue_id"))
+    # where venues share a url, the gig that the log held first
+    by_url = current.groupBy("url").agg(F.min(F.struct("first_seq", "venue_id"))["venue_id"].alias("venue_id"))
     matched = overrides.join(by_url, "url", "left")
     verdicts = matched.where(F.col("venue_id").isNotNull()).select(
         F.lit(CLASSIFIED).alias("_type"), *KEY, "genre", F.lit(USER).alias("source")

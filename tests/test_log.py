@@ -197,3 +197,10 @@ def test_compacting_files(spark, tmp_path):
     assert summary["observed"][0] > summary["observed"][1] and summary["rendered"][0] == summary["rendered"][1]
     state = lambda path: rows(p.current_gigs(source.read_log(spark, path)), *KEY, *GIG_FIELDS)
     assert state(old) == state(new)
+
+
+def test_override_takes_the_first_gig_of_a_shared_url(spark):
+    current = spark.createDataFrame([("b-venue", "u", 3), ("a-venue", "u", 7), ("c", "v", 1)], "venue_id string, url string, first_seq bigint")
+    asked = spark.createDataFrame([("u", "Metal"), ("w", "Other")], "url string, genre string")
+    verdicts, rejects = p.override_batch(current, asked)
+    assert rows(verdicts, "venue_id", "url") == [("b-venue", "u")] and rows(rejects) == [("w", "Other")]
