@@ -54,8 +54,10 @@ POSTER_SQL = """c6 AS (SELECT f.venue_id, f.poster_url AS problem, g.n || ' gig(
   FROM facts f JOIN (SELECT venue_id, poster_url, count(*) AS n FROM facts GROUP BY 1, 2 HAVING count(*) > 20) g USING (venue_id, poster_url))"""
 _TITLE_WORDS = "list_distinct(list_filter(list_transform(" + WORDS.format("lower(title)") + r", lambda w: regexp_replace(w, '[^\p{L}\p{Nd}]', '', 'g')), lambda w: w <> ''))"
 _QUOTED = "array_to_string(" + WORDS.format("any_value(description)") + ", ' ')"
+_SHORTENED = f"""CASE WHEN {UNITS.format(_QUOTED)} <= 60 THEN '"' || {_QUOTED} || '"'
+      ELSE '"' || list_last(list_filter(list_transform(range(0, 61), lambda i: left({_QUOTED}, i)), lambda part: {UNITS.format('part')} <= 60)) || '..."' END"""
 COPY_SQL = f"""same_copy AS (SELECT venue_id, description, count(*) AS n,
-    CASE WHEN length({_QUOTED}) <= 60 THEN '"' || {_QUOTED} || '"' ELSE '"' || left({_QUOTED}, 60) || '..."' END AS detail
+    {_SHORTENED} AS detail
   FROM facts WHERE NOT blank GROUP BY venue_id, description HAVING count(*) > 1),
 common AS (SELECT DISTINCT venue_id, description FROM (
     SELECT f.venue_id, f.description, unnest({_TITLE_WORDS}) AS word FROM facts f WHERE NOT blank)

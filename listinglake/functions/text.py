@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from listinglake.functions.once import once
+
 # Every character that counts as white space: ASCII, all Unicode separators, the control ones.
 SPACE = r"\s\p{Z}\x{1c}-\x{1f}\x{85}"
 
@@ -41,11 +43,16 @@ def words(text: Column) -> Column:
 
 
 def shortened(text: Column, limit: int = 60) -> Column:
-    """The text on one line in quotes, cut after ``limit`` characters."""
-    line = F.array_join(words(text), " ")
-    return F.when(F.length(line) <= limit, F.concat(F.lit('"'), line, F.lit('"'))).otherwise(
-        F.concat(F.lit('"'), F.left(line, F.lit(limit)), F.lit('..."'))
-    )
+    """The text on one line in quotes, cut after ``limit`` UTF-16 units; no character is cut in two."""
+    def quoted(line: Column) -> Column:
+        # what a cut can keep: characters beyond the first plane count twice
+        ends = F.transform(F.sequence(F.lit(0), F.lit(limit)), lambda n: F.left(line, n))
+        kept = F.element_at(F.filter(ends, lambda part: utf16_length(part) <= limit), -1)
+        return F.when(~longer_than(line, limit), F.concat(F.lit('"'), line, F.lit('"'))).otherwise(
+            F.concat(F.lit('"'), kept, F.lit('..."'))
+        )
+
+    return once(F.array_join(words(text), " "), quoted)
 
 
 def title_words(title: Column) -> Column:

@@ -33,22 +33,30 @@ def classify_summary(outcome: DataFrame, metal: DataFrame) -> DataFrame:
     """One run's verdicts, how many of those gigs are now Metal, and how many failed."""
     now_metal = outcome.where(F.col("error").isNull()).join(metal.select(*KEY), KEY, "left_semi")
     runs = outcome.agg(
-        F.count_if(F.col("error").isNull()).alias("classified"), F.count_if(F.col("error").isNotNull()).alias("failed")
+        F.count_if(F.col("error").isNull()).alias("classified"), F.lit(0).cast("bigint").alias("metal"), F.count_if(F.col("error").isNotNull()).alias("failed")
     )
-    # one row on either side
-    return runs.join(now_metal.agg(F.count(F.lit(1)).alias("metal"))).select(
+    none = F.lit(0).cast("bigint")
+    held = now_metal.agg(none.alias("classified"), F.count(F.lit(1)).alias("metal"), none.alias("failed"))
+    # two rows from here on
+    return runs.unionByName(held).agg(*[F.sum(c).alias(c) for c in ("classified", "metal", "failed")]).select(
         "classified", "metal", (F.col("classified") - F.col("metal")).alias("other"), "failed"
     )
 
 
 def scrape_summary(scraped: DataFrame, to_observe: DataFrame, observed: DataFrame) -> DataFrame:
     """One scrape's rows: all, logged, withheld, and logged without any text."""
-    one = F.lit(1)
-    return (
-        scraped.agg(F.count(one).alias("scraped"))
-        .join(to_observe.agg(F.count(one).alias("changed")))
-        .join(observed.agg(F.count(one).alias("logged"), F.count_if(is_blank(F.col("description"))).alias("without_text")))
-        .select("scraped", "logged", (F.col("changed") - F.col("logged")).alias("withheld"), "without_text")
+    names = ("scraped", "changed", "logged", "without_text")
+    count = F.count(F.lit(1))
+
+    def counted(rows: DataFrame, **counts: Column) -> DataFrame:
+        return rows.agg(*[counts.get(n, F.lit(0).cast("bigint")).alias(n) for n in names])
+
+    # three rows from here on
+    parts = counted(scraped, scraped=count).unionByName(counted(to_observe, changed=count)).unionByName(
+        counted(observed, logged=count, without_text=F.count_if(is_blank(F.col("description"))))
+    )
+    return parts.agg(*[F.sum(n).alias(n) for n in names]).select(
+        "scraped", "logged", (F.col("changed") - F.col("logged")).alias("withheld"), "without_text"
     )
 
 

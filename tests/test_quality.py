@@ -204,3 +204,10 @@ def test_replacements(spark):
 def test_redirect_without_a_target_is_live(spark):
     status = spark.createDataFrame([("https://s.org/a/b", 302, None), ("https://s.org/a/b", 301, "c"), ("https://s.org/a/b", 308, "//t.org/x")], "url string, status int, location string")
     assert [(r.verdict, r.moved_to) for r in relisting.url_verdict(status).collect()] == [("live", None), ("moved", "https://s.org/a/c"), ("moved", "https://t.org/x")]
+
+
+@pytest.mark.parametrize("text,want", [("🎸" * 40, '"' + "🎸" * 30 + '..."'), ("a" + "🎸" * 40, '"a' + "🎸" * 29 + '..."'), ("🎸" * 30, '"' + "🎸" * 30 + '"'), ("x" * 61, '"' + "x" * 60 + '..."')])
+def test_quotes_are_cut_by_utf16_units(spark, text, want):
+    from listinglake.functions.text import shortened
+
+    assert spark.createDataFrame([(text,)], "t string").select(shortened(F.col("t"))).first()[0] == want
