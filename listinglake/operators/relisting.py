@@ -33,10 +33,36 @@ def url_verdict(url_status: DataFrame) -> DataFrame:
     )
 
 
-def _prefix(found: Column) -> Column:
-    """The words two sets must share one of to be similar enough: all but ``ceil(0.4 n) - 1``."""
-    n = F.size(found)
-    return F.slice(found, 1, n - F.ceil(n * LEAST_SIMILAR - 1e-9).cast("int") + 1)
+def _needed(n: Column, m: Column) -> Column:
+    """Words that sets of ``n`` and ``m`` words must share to be similar enough."""
+    return F.ceil((n + m) * (LEAST_SIMILAR / (1 + LEAST_SIMILAR)) - 1e-9).cast("int")
+
+
+def _signatures(titles: DataFrame) -> DataFrame:
+    """``titles`` (``words``, and the same ``ordered`` with the night's rarest first) under what they meet by.
+
+    Two sets that share enough words share one among the first of either, all but as many as they
+    need less one. One shared word is enough only where one set has a single word and the other at
+    most two; those meet apart (``lone``), so that a common word leads to no other short title.
+    """
+    n = F.size("ordered")
+    needed = _needed(n, F.greatest(F.lit(2), F.ceil(n * LEAST_SIMILAR - 1e-9).cast("int")))
+    filed = lambda words, lone: F.transform(words, lambda w: F.struct(F.lit(lone).alias("lone"), w.alias("word")))
+    none = F.slice("ordered", 1, 0)
+    every = F.concat(
+        filed(F.when(n <= 2, F.col("ordered")).otherwise(none), True),
+        filed(F.when(n >= 2, F.slice("ordered", F.lit(1), F.greatest(n - needed + 1, F.lit(0)))).otherwise(none), False),
+    )
+    return titles.withColumn("_at", F.explode(every)).select(*[c for c in titles.columns if c != "ordered"], "_at.lone", "_at.word")
+
+
+def _rarest_first(titles: DataFrame, counts: DataFrame) -> DataFrame:
+    """``titles`` with ``ordered``, their words by how many titles of the night have them."""
+    worded = titles.select(*NIGHT, "words", F.explode("words").alias("word"))
+    ordered = attach(worded, counts, [*NIGHT, "word"]).groupBy(*NIGHT, "words").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("n", "word"))), lambda w: w["word"]).alias("ordered")
+    )
+    return titles.join(ordered, [*NIGHT, "words"])
 
 
 def _similarity(a: Column, b: Column) -> Column:
@@ -52,7 +78,7 @@ def lookalikes(listing: DataFrame, missing: DataFrame) -> DataFrame:
     ``similarity``.
 
     Equal titles are one entry on either side, so copies never meet copies. Titles then meet only
-    through a shared word among the few that decide similarity; where none is similar enough, the
+    through a shared word among those, rarest first, that decide similarity; where none is similar enough, the
     titles under the missing gig's own poster meet through any shared word, and where they share
     none, the poster's first listed gig stands.
     """
@@ -70,11 +96,14 @@ def lookalikes(listing: DataFrame, missing: DataFrame) -> DataFrame:
     sought = gone.select(*NIGHT, "poster_url", "words").distinct()
 
     offered = titles.groupBy(*NIGHT, "words").agg(F.max("pick").alias("pick"))
-    by_word = offered.withColumn("word", F.explode(_prefix(F.col("words"))))
-    asked = sought.select(*NIGHT, "words").distinct().withColumn("word", F.explode(_prefix(F.col("words"))))
+    asked = sought.select(*NIGHT, "words").distinct()
+    each = offered.select(*NIGHT, "words").unionByName(asked).select(*NIGHT, F.explode("words").alias("word"))
+    counts = durable(each.groupBy(*NIGHT, "word").agg(F.count(F.lit(1)).alias("n")))
+    by_word = _signatures(_rarest_first(offered, counts))
+    asking = _signatures(_rarest_first(asked, counts)).withColumnRenamed("words", "w")
     alike = durable(
         _best(
-            asked.withColumnRenamed("words", "w").join(by_word, [*NIGHT, "word"])
+            asking.join(by_word, [*NIGHT, "word", "lone"])
             # sets too unlike in size cannot have enough in common
             .where(F.least(F.size("w"), F.size("words")) >= LEAST_SIMILAR * F.greatest(F.size("w"), F.size("words")) - 1e-9)
             # two titles meet at each word they share, and are compared once

@@ -211,3 +211,16 @@ def test_quotes_are_cut_by_utf16_units(spark, text, want):
     from listinglake.functions.text import shortened
 
     assert spark.createDataFrame([(text,)], "t string").select(shortened(F.col("t"))).first()[0] == want
+
+
+def test_a_word_that_all_titles_share_makes_no_pairs(spark):
+    """Titles of two words share one of three: a night of n a side meets nothing through that word."""
+    made = {}
+    for n in (200, 400):
+        titles = lambda side: spark.range(n).select(F.lit("v").alias("venue_id"), F.lit(3).alias("date"), F.array(F.lit("presents"), F.concat(F.lit(side), "id")).alias("words"))  # noqa: E731, B023
+        a, b = titles("a"), titles("b")
+        counts = a.union(b).select("venue_id", "date", F.explode("words").alias("word")).groupBy("venue_id", "date", "word").agg(F.count(F.lit(1)).alias("n"))
+        left = relisting._signatures(relisting._rarest_first(a, counts))
+        right = relisting._signatures(relisting._rarest_first(b, counts)).drop("words").where("not lone")
+        made[n] = left.count(), left.where("not lone").join(right, ["venue_id", "date", "word"]).count()
+    assert made[400][0] == 2 * made[200][0] and made[200][1] == made[400][1] == 0
