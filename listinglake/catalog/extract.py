@@ -306,6 +306,13 @@ def year_rollover_jan(spark, sf):
     return listings.running_year(monthly(spark, sf), 2026, listings.january_after_another)
 
 
+@query("year_rollover_pages", f"SELECT venue_id, ((listing_pos // 5) << 32) + listing_pos % 5 AS listing_pos, month, year FROM ({_year_sql('month < previous')})")
+def year_rollover_pages(spark, sf):
+    """The same rows as pages of five, so that positions leave gaps between pages."""
+    at = listings.page_position(F.floor(F.col("listing_pos") / 5), F.col("listing_pos") % 5)
+    return listings.running_year(monthly(spark, sf).withColumn("listing_pos", at), 2026)
+
+
 @query("dedupe_first", with_ctes(t.LISTING_BY_LENGTH_SQL, "SELECT venue_id, url, listing_pos, title FROM listing QUALIFY row_number() OVER (PARTITION BY venue_id, url ORDER BY listing_pos) = 1"))
 def dedupe_first(spark, sf):
     rows = t.listing_by_length(spark, sf)

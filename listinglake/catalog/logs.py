@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import functions as F
 
 from listinglake.catalog.registry import query, with_ctes
-from listinglake.model import CLASSIFIED, GIG_FIELDS, KEY, KINDS, OBSERVED, RENDERED, REPLACED
+from listinglake.model import CLASSIFIED, GIG_FIELDS, KEY, KINDS, LOG_COLUMNS, OBSERVED, RENDERED, REPLACED
 from listinglake.operators import compaction, projections as p
 from listinglake.operators.sequencing import assign_sequence
 from listinglake.session import durable, working_folder
@@ -59,22 +60,22 @@ def _rec(*parts: str) -> str:
     return with_ctes(*parts, recursive=True)
 
 
-@query("log_read", with_ctes(LOG_SQL, "SELECT _type, seq, venue_id, url, title, CAST(date AS VARCHAR) AS date, genre, source, input_tokens, by_url, file FROM log"))
+ALL = ", ".join(LOG_COLUMNS)
+
+
+@query("log_read", with_ctes(LOG_SQL, f"SELECT {ALL} FROM log"))
 def log_read(spark, sf):
     """The whole log written as JSON lines, read back with the explicit schema."""
     path = f"{working_folder(spark)}/log-json-{uuid.uuid4().hex}"
     log_source.as_json_text(log(spark, sf)).write.text(path)
-    return log_source.read_json_log(spark, path).select(
-        "_type", "seq", "venue_id", "url", "title", F.col("date").cast("string").alias("date"), "genre", "source",
-        "input_tokens", "by_url", "file",
-    )
+    return log_source.read_json_log(spark, path).select(*LOG_COLUMNS)
 
 
 VIEW_COLUMNS = {
-    OBSERVED: ["seq", *KEY, "title", "poster_url", "description"],
-    CLASSIFIED: ["seq", *KEY, "genre", "source", "llm_model", "use_vision", "input_tokens", "output_tokens"],
-    REPLACED: ["seq", *KEY, "by_venue_id", "by_url"],
-    RENDERED: ["seq", "file", "gig_count", "logical_date"],
+    OBSERVED: ["seq", "recorded_at", *KEY, *GIG_FIELDS],
+    CLASSIFIED: ["seq", "recorded_at", *KEY, "genre", "source", "llm_model", "use_vision", "input_tokens", "output_tokens"],
+    REPLACED: ["seq", "recorded_at", *KEY, "by_venue_id", "by_url"],
+    RENDERED: ["seq", "recorded_at", "file", "gig_count", "logical_date"],
 }
 
 
@@ -92,18 +93,52 @@ for _kind in KINDS:
     )(_view(_kind))
 
 
-@query("log_append", with_ctes(LOG_SQL, "SELECT _type, count(*) AS n, min(seq) AS first_seq, max(seq) AS last_seq FROM log GROUP BY _type"))
-def log_append(spark, sf):
+# every entry without its number gets the next one
+APPENDED_SQL = f"SELECT * REPLACE (row_number() OVER (ORDER BY seq) - 1 AS seq) FROM (SELECT {ALL} FROM log)"
+
+
+def _appended(spark, sf, read, append):
     """The log appended in two batches, the second numbered after the first, then read back."""
     path = f"{working_folder(spark)}/log-{uuid.uuid4().hex}"
     entries = durable(log(spark, sf).withColumn("position", F.col("seq")))
     half = entries.agg(F.expr("percentile_approx(seq, 0.5)")).first()[0]
-    first, second = (entries.where(c).withColumn("seq", F.lit(None).cast("bigint")) for c in (F.col("seq") <= half, F.col("seq") > half))
-    log_source.append(log_source.read_log(spark, path), first, path)
-    log_source.append(log_source.read_log(spark, path), second, path)
-    return log_source.read_log(spark, path).groupBy("_type").agg(
-        F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")
+    for part in (F.col("seq") <= half, F.col("seq") > half):
+        append(read(spark, path), entries.where(part).withColumn("seq", F.lit(None).cast("bigint")), path)
+    return read(spark, path).select(*LOG_COLUMNS)
+
+
+@query("log_append", with_ctes(LOG_SQL, APPENDED_SQL))
+def log_append(spark, sf):
+    return _appended(spark, sf, log_source.read_log, log_source.append)
+
+
+@query("log_append_json", with_ctes(LOG_SQL, APPENDED_SQL))
+def log_append_json(spark, sf):
+    """The same as JSON lines."""
+    return _appended(spark, sf, log_source.read_json_log, log_source.append_json)
+
+
+@query("append_refused", with_ctes(LOG_SQL, r"""bad AS (SELECT * REPLACE (
+    CASE WHEN seq % 7 = 0 AND venue_id IS NOT NULL THEN ' ' ELSE venue_id END AS venue_id,
+    CASE WHEN seq % 7 = 1 AND url IS NOT NULL THEN '' ELSE url END AS url,
+    CASE WHEN seq % 7 = 2 THEN title || ' ' ELSE title END AS title,
+    CASE WHEN seq % 7 = 3 AND by_url IS NOT NULL THEN venue_id ELSE by_venue_id END AS by_venue_id,
+    CASE WHEN seq % 7 = 3 AND by_url IS NOT NULL THEN url ELSE by_url END AS by_url) FROM log)
+  SELECT seq, CASE WHEN seq % 7 = 0 THEN 'blank venue' WHEN seq % 7 = 1 THEN 'blank url'
+    WHEN seq % 7 = 2 THEN 'title: spacing' ELSE 'replaced by itself' END AS problem
+  FROM bad WHERE (seq % 7 IN (0, 1) AND _type <> 'rendered') OR (seq % 7 = 2 AND _type = 'observed') OR (seq % 7 = 3 AND _type = 'replaced')"""))
+def append_refused(spark, sf):
+    """Entries that a write refuses, and why; some of every kind are spoilt first."""
+    entries, nth = log(spark, sf), F.col("seq") % 7
+    own = (nth == 3) & F.col("by_url").isNotNull()
+    bad = entries.select(
+        "_type", "seq", "poster_url", F.when((nth == 0) & F.col("venue_id").isNotNull(), " ").otherwise(F.col("venue_id")).alias("venue_id"),
+        F.when((nth == 1) & F.col("url").isNotNull(), "").otherwise(F.col("url")).alias("url"),
+        F.when(nth == 2, F.concat("title", F.lit(" "))).otherwise(F.col("title")).alias("title"),
+        F.when(own, F.col("venue_id")).otherwise(F.col("by_venue_id")).alias("by_venue_id"),
+        F.when(own, F.col("url")).otherwise(F.col("by_url")).alias("by_url"),
     )
+    return bad.select("seq", log_source.entry_problem().alias("problem")).where("problem IS NOT NULL")
 
 
 @query("current_gigs", with_ctes(LOG_SQL, CURRENT_SQL, f"SELECT {GIG} FROM current"))
@@ -196,15 +231,16 @@ def already_rendered(spark, sf):
     return p.already_rendered(log(spark, sf), days)
 
 
-@query("due_venues", with_ctes(LOG_SQL, """clock AS (SELECT max(recorded_at) AS now FROM log),
-  last AS (SELECT venue_id, max(recorded_at) AS at FROM log WHERE _type = 'observed' AND description = '' GROUP BY venue_id)
+@query("due_venues", with_ctes(LOG_SQL, """last AS (SELECT venue_id, max(recorded_at) AS seen FROM log WHERE _type = 'observed' GROUP BY venue_id),
+  clock AS (SELECT make_timestamp(epoch_us(min(seen)) + (epoch_us(max(seen)) - epoch_us(min(seen))) // 2) + INTERVAL 1 DAY AS now FROM last)
   SELECT v.venue_id FROM (SELECT DISTINCT venue_id FROM log WHERE venue_id IS NOT NULL) v LEFT JOIN last l USING (venue_id), clock
-  WHERE l.at IS NULL OR NOT l.at > clock.now - INTERVAL 1 DAY"""))
+  WHERE l.seen IS NULL OR NOT l.seen > clock.now - INTERVAL 1 DAY"""))
 def due_venues(spark, sf):
-    """Venues due at the log's last instant, had only its empty-text observations been made."""
+    """Venues due a day after the middle between the first and the last venue's newest observation."""
     entries = log(spark, sf)
-    seen = p.last_scraped(entries.where(F.col("description") == ""))
-    now = entries.agg(F.max("recorded_at")).first()[0]
+    seen = durable(p.last_scraped(entries))
+    first, last = seen.agg(F.min("last_scraped"), F.max("last_scraped")).first()
+    now = first + (last - first) // 2 + timedelta(days=1)
     asked = entries.where(F.col("venue_id").isNotNull()).select("venue_id").distinct()
     return p.due_venues(asked, seen, F.lit(now).cast("timestamp_ntz"))
 
@@ -263,15 +299,18 @@ def seq_assign(spark, sf):
     return assign_sequence(batch, "position", 4)
 
 
-@query("replace_valid", with_ctes(LOG_SQL, "SELECT seq, venue_id, url FROM log WHERE _type = 'replaced' AND venue_id = by_venue_id AND url = by_url"))
+@query("replace_valid", with_ctes(LOG_SQL, """turned AS (SELECT seq, venue_id, url, _type, CASE WHEN seq % 3 = 0 THEN venue_id ELSE by_venue_id END AS by_venue_id,
+    CASE WHEN seq % 3 = 0 THEN url ELSE by_url END AS by_url FROM log)
+  SELECT seq, venue_id, url FROM turned WHERE _type = 'replaced' AND venue_id = by_venue_id AND url = by_url"""))
 def replace_valid(spark, sf):
-    """Replacements of a key by itself; a log must hold none."""
-    return self_replacements(log(spark, sf)).select("seq", *KEY)
+    """Replacements of a key by itself, which a log must not hold; every third one is turned into one."""
+    own = lambda name: F.when(F.col("seq") % 3 == 0, F.col(name)).otherwise(F.col(f"by_{name}"))
+    turned = log(spark, sf).withColumns({"by_venue_id": own("venue_id"), "by_url": own("url")})
+    return self_replacements(turned).select("seq", *KEY)
 
 
 def self_replacements(entries):
-    same = F.col("venue_id").eqNullSafe(F.col("by_venue_id")) & F.col("url").eqNullSafe(F.col("by_url"))
-    return log_source.entries_of(entries, REPLACED).where(same)
+    return log_source.entries_of(entries, REPLACED).where(log_source.replaces_itself())
 
 
 COMPACT_SQL = """verdicts_kept AS (SELECT * FROM log WHERE _type = 'classified'
@@ -280,11 +319,9 @@ compacted AS (SELECT * FROM newest UNION ALL SELECT * FROM verdicts_kept
   UNION ALL SELECT * FROM log WHERE _type IN ('rendered', 'replaced'))"""
 
 
-@query("compact", with_ctes(LOG_SQL, OBS_SQL, COMPACT_SQL, "SELECT _type, seq, venue_id, url, title, genre, source, by_url, file FROM compacted"))
+@query("compact", with_ctes(LOG_SQL, OBS_SQL, COMPACT_SQL, f"SELECT {ALL} FROM compacted"))
 def compact(spark, sf):
-    return compaction.compact(log(spark, sf)).orderBy("seq").select(
-        "_type", "seq", *KEY, "title", "genre", "source", "by_url", "file"
-    )
+    return compaction.compact(log(spark, sf)).orderBy("seq").select(*LOG_COLUMNS)
 
 
 @query("compact_summary", with_ctes(LOG_SQL, OBS_SQL, COMPACT_SQL, """SELECT _type, b.n AS before, coalesce(a.n, 0) AS after, b.n - coalesce(a.n, 0) AS dropped

@@ -180,11 +180,13 @@ def withheld(spark, sf):
     return gate.withheld(batch.listing, failed).select(*KEY, "listing_pos")
 
 
-@query("problem_valid", with_ctes(*GATE_SQL, "SELECT venue_id, detail FROM claims c WHERE gig IS NOT NULL AND NOT EXISTS (SELECT 1 FROM listing f WHERE f.venue_id = c.venue_id AND f.url = c.url)"))
+@query("problem_valid", with_ctes(*GATE_SQL, "SELECT venue_id, detail FROM claims WHERE gig IS NOT NULL AND length(url) % 3 = 0"))
 def problem_valid(spark, sf):
-    """Problems naming a gig of another venue; there must be none."""
+    """Problems naming a gig that the venue did not list; a third of the claims are spoilt so, the others are not."""
     batch = batch_of(spark, sf)
-    return gate.misplaced_claims(gate.claims_of(batch), batch.facts).select("venue_id", "detail")
+    spoilt = F.when(F.length("url") % 3 == 0, F.concat("gig", F.lit("x"))).otherwise(F.col("gig"))
+    claims = gate.claims_of(batch).withColumn("gig", spoilt)
+    return gate.misplaced_claims(claims, batch.facts).select("venue_id", "detail")
 
 
 MISSING_SQL = f"missing AS (SELECT p.* FROM previous p WHERE date >= DATE '{TODAY}' AND NOT EXISTS (SELECT 1 FROM listing l WHERE l.venue_id = p.venue_id AND l.url = p.url))"

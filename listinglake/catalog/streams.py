@@ -8,43 +8,53 @@ from pyspark.sql import functions as F
 
 from listinglake.catalog.logs import OBS_SQL, OWN_SQL
 from listinglake.catalog.registry import query, with_ctes
-from listinglake.model import GIG_FIELDS, KEY
+from listinglake.model import GIG_FIELDS, KEY, LOG_COLUMNS
 from listinglake.session import working_folder
-from listinglake.sources.log import as_json_text
+from listinglake.sources.log import as_json_text, read_json_log
 from listinglake.sources.testviews import LOG_SQL, log
 from listinglake.streaming import state
 from listinglake.streaming.ingest import stream_log
 
 
-def arriving(spark, sf):
-    """The whole log as JSON files that arrive out of order, four to a batch."""
-    folder = f"{working_folder(spark)}/arriving-{uuid.uuid4().hex}"
-    as_json_text(log(spark, sf).repartition(8, F.xxhash64("seq"))).write.text(folder)
-    return stream_log(spark, folder, files_per_batch=4)
+def ran_twice(spark, sf, build, merge=None):
+    """Run a stream over half of the log's JSON files, and again once the others have arrived.
 
+    Entries are dealt to files by a hash, so they arrive out of order. Returns where the entries and
+    the results are.
+    """
+    folder, out = (f"{working_folder(spark)}/{name}-{uuid.uuid4().hex}" for name in ("arriving", "state"))
+    half = F.pmod(F.xxhash64("seq"), F.lit(2))
+    for turn in range(2):
+        as_json_text(log(spark, sf).where(half == turn)).repartition(4).write.mode("append").text(folder)
+        state.keep_up(build(stream_log(spark, folder, files_per_batch=2)), out, f"{out}-checkpoint").awaitTermination()
+        if merge and turn == 0:
+            state.merge(spark, out, merge)
+    return folder, out
 
-def kept_up(spark, stream, key):
-    out = f"{working_folder(spark)}/state-{uuid.uuid4().hex}"
-    state.keep_up(stream, out, f"{out}-checkpoint").awaitTermination()
-    return state.current_state(spark.read.parquet(out), key)
 
+def kept_up(spark, sf, build, key):
+    return state.current_state(spark, ran_twice(spark, sf, build, key)[1], key)
 
-@query("stream_ingest", with_ctes(LOG_SQL, "SELECT _type, count(*) AS n, sum(seq) AS seqs FROM log GROUP BY _type"))
+
+@query("stream_ingest", with_ctes(LOG_SQL, f"SELECT {', '.join(LOG_COLUMNS)} FROM log"))
 def stream_ingest(spark, sf):
-    counted = arriving(spark, sf).groupBy("_type").agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seqs"))
-    return kept_up(spark, counted, ["_type"])
+    """Every entry as it arrived, batch after batch."""
+    _, out = ran_twice(spark, sf, lambda stream: stream)
+    return spark.read.parquet(out).select(*LOG_COLUMNS)
 
 
 @query("stream_latest", with_ctes(LOG_SQL, OBS_SQL, "SELECT venue_id, url, title, date, poster_url, description, seq FROM newest"))
 def stream_latest(spark, sf):
-    return kept_up(spark, state.latest(arriving(spark, sf)), KEY).select(*KEY, *GIG_FIELDS, "seq")
+    folder, out = ran_twice(spark, sf, state.latest, KEY)
+    newest = state.current_state(spark, out, KEY)
+    return state.rows_of(read_json_log(spark, folder), newest).select(*KEY, *GIG_FIELDS, "seq")
 
 
 @query("stream_status", with_ctes(LOG_SQL, OWN_SQL, "SELECT * FROM own"))
 def stream_status(spark, sf):
-    return kept_up(spark, state.verdicts(arriving(spark, sf)), KEY)
+    return kept_up(spark, sf, state.verdicts, KEY)
 
 
 @query("stream_last_scraped", with_ctes(LOG_SQL, "SELECT venue_id, max(recorded_at) AS last_scraped FROM log WHERE _type = 'observed' GROUP BY venue_id"))
 def stream_last_scraped(spark, sf):
-    return kept_up(spark, state.last_scraped(arriving(spark, sf)), ["venue_id"])
+    return kept_up(spark, sf, state.last_scraped, ["venue_id"])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from listinglake.session import durable
-from listinglake.skew import BLOCK_ROWS, attach, carry_forward
+from listinglake.skew import BLOCK_ROWS, attach, carry_forward, with_position
 
 
 def dedupe_first(rows: DataFrame, key: Sequence[str | Column], position: str = "listing_pos") -> DataFrame:
@@ -35,10 +35,11 @@ def running_year(
 ) -> DataFrame:
     """Give rows with a ``month`` but no year their ``year``, in listing order per venue.
 
-    Blocks of positions count their own turns; one row per block carries the count on. Positions
-    have to be distinct within a venue.
+    Positions are distinct within a venue and may leave gaps, as pages do, so places are numbered
+    first. Blocks of places count their own turns; one row per block carries the count on.
     """
-    blocked, keys = carry_forward(rows, ["venue_id"], "listing_pos", block_rows)
+    placed = with_position(rows, ["venue_id"], [F.col("listing_pos")], "_place")
+    blocked, keys = carry_forward(placed, ["venue_id"], "_place", block_rows)
     within = Window.partitionBy(*keys).orderBy("listing_pos")
     turned = blocked.withColumn("_turn", F.coalesce(turns(F.col("month"), F.lag("month").over(within)), F.lit(False)).cast("int"))
     counted = turned.withColumn("_turns", F.sum("_turn").over(within.rowsBetween(Window.unboundedPreceding, 0)))

@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from listinglake.model import CLASSIFIED, LOG_COLUMNS, LOG_JSON_SCHEMA, LOG_SCHEMA, OBSERVED, REPLACED
+from listinglake.functions.text import not_blank, title_problem
+from listinglake.model import CLASSIFIED, LOG_COLUMNS, LOG_JSON_SCHEMA, LOG_SCHEMA, OBSERVED, RENDERED, REPLACED
 from listinglake.operators.sequencing import assign_sequence
+from listinglake.session import durable
 
 
 def empty_log(spark: SparkSession) -> DataFrame:
@@ -110,14 +112,45 @@ def write_log(entries: DataFrame, path: str, mode: str = "append") -> None:
     entries.select(*LOG_COLUMNS).write.mode(mode).partitionBy("_type").parquet(path)
 
 
-def append(log: DataFrame, batch: DataFrame, path: str, position: str = "position") -> None:
-    """Number ``batch`` after ``log`` in ``position`` order and append it.
+def replaces_itself() -> Column:
+    return F.col("venue_id").eqNullSafe(F.col("by_venue_id")) & F.col("url").eqNullSafe(F.col("by_url"))
+
+
+def entry_problem() -> Column:
+    """Why an entry may not be written, null where it may: blank keys or poster, its title, a key replacing itself."""
+    kind = F.col("_type")
+    blank = lambda name: ~F.coalesce(not_blank(F.col(name)), F.lit(False))
+    return (
+        F.when((kind != RENDERED) & blank("venue_id"), F.lit("blank venue"))
+        .when((kind != RENDERED) & blank("url"), F.lit("blank url"))
+        .when((kind == OBSERVED) & F.col("poster_url").isNotNull() & blank("poster_url"), F.lit("blank poster"))
+        .when((kind == OBSERVED) & title_problem(F.col("title")).isNotNull(), F.concat(F.lit("title: "), title_problem(F.col("title"))))
+        .when((kind == REPLACED) & replaces_itself(), F.lit("replaced by itself"))
+    )
+
+
+def numbered_after(log: DataFrame, batch: DataFrame, position: str = "position") -> DataFrame:
+    """``batch`` numbered after ``log`` in ``position`` order, stored, or refused as a whole.
 
-    The whole batch is refused when a number it brings along does not follow the one before it.
+    It is refused when a number it brings along does not follow the one before it, or when an entry
+    has an ``entry_problem``. One writer at a time: two that read the same log take the same numbers.
     """
     last = log.agg(F.max("seq")).first()[0]
-    numbered = assign_sequence(as_entries(batch, [position]), position, -1 if last is None else last)
+    numbered = durable(assign_sequence(as_entries(batch, [position]), position, -1 if last is None else last))
     wrong = numbered.where(~F.col("in_order")).select("seq").take(1)
     if wrong:
         raise ValueError(f"entry seq {wrong[0][0]} does not follow the entry before it")
-    write_log(numbered, path)
+    refused = numbered.select("seq", entry_problem().alias("problem")).where("problem IS NOT NULL").take(1)
+    if refused:
+        raise ValueError(f"entry seq {refused[0][0]} is refused: {refused[0][1]}")
+    return numbered
+
+
+def append(log: DataFrame, batch: DataFrame, path: str, position: str = "position") -> None:
+    """Number ``batch`` after ``log`` and append it to the Parquet log."""
+    write_log(numbered_after(log, batch, position), path)
+
+
+def append_json(log: DataFrame, batch: DataFrame, path: str, position: str = "position") -> None:
+    """Number ``batch`` after ``log`` and append it as JSON lines."""
+    as_json_text(numbered_after(log, batch, position)).write.mode("append").text(path)

@@ -6,18 +6,28 @@ watermark is needed: every key keeps one row of state for as long as the log doe
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from listinglake.model import CLASSIFIED, GIG_FIELDS, KEY, METAL, OBSERVED, OTHER, USER
+from listinglake.model import CLASSIFIED, KEY, METAL, OBSERVED, OTHER, USER
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def latest(stream: DataFrame) -> DataFrame:
-    """The newest observation per gig so far."""
-    row = F.struct("seq", "recorded_at", *GIG_FIELDS)
+    """The number of each gig's newest observation so far; ``rows_of`` fetches what it says.
+
+    Numbers alone are kept as state, so texts neither fill it nor are written again with each change.
+    """
     observed = stream.where(F.col("_type") == OBSERVED)
-    return observed.groupBy(*KEY).agg(F.max_by(row, "seq").alias("o")).select(*KEY, "o.*")
+    return observed.groupBy(*KEY).agg(F.max("seq").alias("seq"))
+
+
+def rows_of(log: DataFrame, newest: DataFrame) -> DataFrame:
+    """The observations that ``newest`` numbers."""
+    return log.where(F.col("_type") == OBSERVED).join(newest.select("seq"), "seq", "left_semi")
 
 
 def verdicts(stream: DataFrame) -> DataFrame:
@@ -39,8 +49,10 @@ def last_scraped(stream: DataFrame) -> DataFrame:
 def keep_up(state: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Process what has arrived and write each batch's changed rows to a folder of its own.
 
-    A batch that is run again after a failure replaces its own folder, so none counts twice.
+    A batch that is run again after a failure replaces its own folder, so none counts twice. State
+    is held by RocksDB, off the heap.
     """
+    state.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
 
     def store(changed: DataFrame, batch: int) -> None:
         changed.write.mode("overwrite").parquet(f"{path}/batch={batch}")
@@ -51,7 +63,45 @@ def keep_up(state: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def current_state(stored: DataFrame, key: list[str]) -> DataFrame:
-    """The table the batches add up to: each key's row from the newest batch that changed it."""
+def current_state(spark: SparkSession, path: str, key: list[str]) -> DataFrame:
+    """The table the batches add up to: each key's row from the newest batch that changed it.
+
+    Reads the newest merged table and the batches after it.
+    """
+    merged = _numbers(spark, _merged(path), "upto")
+    batches = spark.read.parquet(path)
+    if not merged:
+        return _newest(batches, key)
+    before = spark.read.parquet(f"{_merged(path)}/upto={merged[-1]}")
+    return _newest(before.unionByName(batches.where(F.col("batch") > merged[-1])), key)
+
+
+def merge(spark: SparkSession, path: str, key: list[str]) -> None:
+    """Fold all batches so far into one table next to them, which later reads start from.
+
+    Batch folders up to it are needed no more and may expire.
+    """
+    batches = _numbers(spark, path, "batch")
+    merged = _numbers(spark, _merged(path), "upto")
+    if batches and batches[-1:] != merged[-1:]:
+        rows = current_state(spark, path, key).withColumn("batch", F.lit(batches[-1]))
+        rows.write.mode("overwrite").parquet(f"{_merged(path)}/upto={batches[-1]}")
+
+
+def _merged(path: str) -> str:
+    return f"{path.rstrip('/')}-merged"
+
+
+def _numbers(spark: SparkSession, path: str, name: str) -> list[int]:
+    """The numbers that a table's folders carry; none where there is no table."""
+    try:
+        return sorted(r[0] for r in spark.read.parquet(path).select(name).distinct().collect())
+    except AnalysisException as missing:
+        if missing.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return []
+        raise
+
+
+def _newest(stored: DataFrame, key: list[str]) -> DataFrame:
     rest = [c for c in stored.columns if c not in (*key, "batch")]
     return stored.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*key, "r.*")

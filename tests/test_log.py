@@ -144,6 +144,18 @@ def test_append_numbers_and_refuses(spark, tmp_path):
     assert source.read_log(spark, path).count() == 4
 
 
+@pytest.mark.parametrize("entry, problem", [
+    (observed(None, " "), "blank url"), (observed(None, "a", venue=""), "blank venue"), (observed(None, "a", title="A  b"), "title: spacing"),
+    ({**observed(None, "a"), "poster_url": "\u00a0"}, "blank poster"), (replaced(None, "a", "a"), "replaced by itself"),
+])
+def test_append_refuses_what_a_log_must_not_hold(spark, tmp_path, entry, problem):
+    path = str(tmp_path / "log")
+    batch = log_of(spark, observed(None, "fine"), entry).withColumn("position", F.monotonically_increasing_id())
+    with pytest.raises(ValueError, match=problem):
+        source.append_json(source.read_json_log(spark, path), batch, path)
+    assert source.read_json_log(spark, path).count() == 0
+
+
 def test_json_lines(spark, tmp_path):
     path = tmp_path / "events.ndjson"
     assert source.read_json_log(spark, str(path)).count() == 0
