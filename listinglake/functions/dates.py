@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from listinglake.functions.once import once
+
 # English month names in order.
 MONTHS = [
     "January", "February", "March", "April", "May", "June", "July", "August", "September",
@@ -22,8 +24,10 @@ ISO = r"(\d{4}-\d{2}-\d{2})"
 
 def month_number(name: Column) -> Column:
     """1 to 12 for a three-letter month name or a full one in any case; null for anything else."""
-    place = lambda names, x: F.nullif(F.array_position(F.array(*[F.lit(n) for n in names]), x), F.lit(0))
-    return F.coalesce(place([m[:3] for m in MONTHS], name), place([m.upper() for m in MONTHS], F.upper(name))).cast("int")
+    short = F.find_in_set(name, F.lit(",".join(m[:3] for m in MONTHS)))
+    full = F.find_in_set(F.upper(name), F.lit(",".join(m.upper() for m in MONTHS)))
+    # a name is in one list at most, but for May, which has the same place in both
+    return F.nullif(F.greatest(short, full), F.lit(0))
 
 
 def day_of(year: Column, month: Column, day: Column) -> Column:
@@ -60,31 +64,46 @@ def _range_year(end_year: Column, start_month: Column, end_month: Column) -> Col
 def range_start(text: Column) -> Column:
     """``1 - 9 Aug 2026``, ``19 Sep - 5 Dec 2026``, ``11 Dec - 3 Jan 2027``, or one day."""
     line = F.trim(text)
-    ends = F.split(line, r"\s*-\s*", 2)
-    left, right = F.try_element_at(ends, F.lit(1)), F.try_element_at(ends, F.lit(2))
-    end_month = month_number(F.regexp_extract(right, SINGLE, 2))
-    end_year = _number(F.regexp_extract(right, SINGLE, 3))
-    start_day = _number(F.regexp_extract(left, r"^(\d{1,2})", 1))
-    named = F.regexp_extract(left, r"^\d{1,2}\s+(\w+)", 1)
-    start_month = F.when(named == "", end_month).otherwise(month_number(named))
-    ranged = day_of(_range_year(end_year, start_month, end_month), start_month, start_day)
-    return F.when(F.instr(line, "-") > 0, ranged).otherwise(printed_date(line, SINGLE))
+
+    def ranged(ends: Column) -> Column:
+        left, right = F.try_element_at(ends, F.lit(1)), F.try_element_at(ends, F.lit(2))
+        end_month = month_number(F.regexp_extract(right, SINGLE, 2))
+        named = F.regexp_extract(left, r"^\d{1,2}\s+(\w+)", 1)
+        parts = F.struct(
+            _number(F.regexp_extract(left, r"^(\d{1,2})", 1)).alias("day"),
+            F.when(named == "", end_month).otherwise(month_number(named)).alias("month"),
+            end_month.alias("end_month"), _number(F.regexp_extract(right, SINGLE, 3)).alias("end_year"),
+        )
+        return once(parts, _start_of)
+
+    several = once(F.split(line, r"\s*-\s*", 2), ranged)
+    return F.when(F.instr(line, "-") > 0, several).otherwise(printed_date(line, SINGLE))
+
+
+def _start_of(parts: Column) -> Column:
+    year = _range_year(parts["end_year"], parts["month"], parts["end_month"])
+    return day_of(year, parts["month"], parts["day"])
 
 
 def month_first_range_start(text: Column) -> Column:
     """``September 10th - October 3rd 2026``, or ``10th September 2026``."""
     line = F.trim(text)
     start, end = r"^(\w+)\s+(\d{1,2})\w{2}", r"-\s*(\w+)\s+\d{1,2}\w{2}\s+(\d{4})"
-    start_month, end_month = (month_number(F.regexp_extract(line, p, 1)) for p in (start, end))
-    end_year = _number(F.regexp_extract(line, end, 2))
-    ranged = day_of(_range_year(end_year, start_month, end_month), start_month, _number(F.regexp_extract(line, start, 2)))
+    month = lambda p: month_number(F.regexp_extract(line, p, 1))
+    number = lambda p: _number(F.regexp_extract(line, p, 2))
+    ranged = once(
+        F.struct(number(start).alias("day"), month(start).alias("month"), month(end).alias("end_month"), number(end).alias("end_year")), _start_of
+    )
     return F.when(line.rlike(end), ranged).otherwise(printed_date(line, r"(\d{1,2})\w{2}\s+(\w+)\s+(\d{4})"))
 
 
 def parts_start(day: Column, month: Column, end_month: Column, end_year: Column) -> Column:
     """A range whose parts are marked up on their own."""
-    first, last = month_number(F.trim(month)), month_number(F.trim(end_month))
-    return day_of(_range_year(_number(F.trim(end_year)), first, last), first, _number(F.trim(day)))
+    parts = F.struct(
+        _number(F.trim(day)).alias("day"), month_number(F.trim(month)).alias("month"),
+        month_number(F.trim(end_month)).alias("end_month"), _number(F.trim(end_year)).alias("end_year"),
+    )
+    return once(parts, _start_of)
 
 
 def block_date(block: Column, day: Column) -> Column:

@@ -7,6 +7,8 @@ come from a table of rules, one row per venue.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +41,18 @@ def _absent_or(wanted: Column, test: Column) -> Column:
     return wanted.isNull() | F.coalesce(test, F.lit(False))
 
 
-def matches(node: Column, s: Column, nodes: Column) -> Column:
+def _is_scope(node: Column, s: Column) -> Column:
+    """What a selector wants some ancestor to be."""
+    return (
+        (node["tag"] != TEXT)
+        & _absent_or(s["in_tag"], node["tag"] == s["in_tag"])
+        & _absent_or(s["in_class"], F.array_contains(node["classes"], s["in_class"]))
+        & _absent_or(s["in_id"], F.try_element_at(node["attrs"], F.lit("id")) == s["in_id"])
+    )
+
+
+def matches(node: Column, s: Column, nodes: Column, up: Column) -> Column:
+    """Whether a node matches; ``up`` is what its ancestors' numbers are looked up with in ``nodes``."""
     value = F.try_element_at(node["attrs"], s["attr"])
     own = (
         (node["tag"] != TEXT)
@@ -52,26 +65,34 @@ def matches(node: Column, s: Column, nodes: Column) -> Column:
         & (s["without"].isNull() | ~F.coalesce(F.array_contains(node["classes"], s["without"]), F.lit(False)))
     )
     scoped = s["in_tag"].isNotNull() | s["in_class"].isNotNull() | s["in_id"].isNotNull()
-    around = F.exists(
-        nodes,
-        lambda a: (a["node_id"] < node["node_id"]) & (node["node_id"] <= a["end_id"])
-        & _absent_or(s["in_tag"], a["tag"] == s["in_tag"])
-        & _absent_or(s["in_class"], F.array_contains(a["classes"], s["in_class"]))
-        & _absent_or(s["in_id"], F.try_element_at(a["attrs"], F.lit("id")) == s["in_id"]),
-    )
-    return own & (~scoped | around)
+    # a run of nodes holds an ancestor by its number; where some were taken out, it has to be looked for
+    by_place = F.exists(node["up"], lambda i: F.coalesce(_is_scope(F.get(nodes, i - up), s), F.lit(False)))
+    by_search = F.exists(nodes, lambda a: (a["node_id"] < node["node_id"]) & (node["node_id"] <= a["end_id"]) & _is_scope(a, s))
+    return own & (~scoped | F.when(up.isNotNull(), by_place).otherwise(by_search))
+
+
+def _start(part: Column) -> Column:
+    """The number of a run's first node; null where the part has gaps."""
+    first_id, last_id = F.get(part, F.lit(0))["node_id"], F.try_element_at(part, F.lit(-1))["node_id"]
+    return F.when(last_id - first_id + 1 == F.size(part), first_id)
 
 
 def select(part: Column, s: Column, nodes: Column | None = None) -> Column:
     """Nodes of ``part`` that match, in document order; ancestors are looked for in ``nodes``."""
-    whole = part if nodes is None else nodes
-    return F.filter(part, lambda n: matches(n, s, whole))
+    return _matching(part, nodes, lambda n, whole, up: matches(n, s, whole, up))
 
 
 def select_any(part: Column, selectors: Column, nodes: Column | None = None) -> Column:
     """Nodes of ``part`` that match any of an array of selectors; nothing when the array is null."""
-    whole = part if nodes is None else nodes
-    return F.filter(part, lambda n: F.coalesce(F.exists(selectors, lambda s: matches(n, s, whole)), F.lit(False)))
+    found = lambda n, whole, up: F.coalesce(F.exists(selectors, lambda s: matches(n, s, whole, up)), F.lit(False))
+    return _matching(part, nodes, found)
+
+
+def _matching(part: Column, nodes: Column | None, test: Callable[[Column, Column, Column], Column]) -> Column:
+    """Nodes of ``part`` that pass; what ``nodes`` starts with is found out once, and the part is computed once."""
+    if nodes is None:
+        return once(part, lambda p: once(_start(p), lambda up: F.filter(p, lambda n: test(n, p, up))))
+    return once(_start(nodes), lambda up: F.filter(part, lambda n: test(n, nodes, up)))
 
 
 def first(part: Column) -> Column:
@@ -86,7 +107,15 @@ def subtree(nodes: Column, node: Column) -> Column:
 
 def within(part: Column, node: Column) -> Column:
     """A node and what ``part`` still holds of its inside."""
-    return F.filter(part, lambda n: n["node_id"].between(node["node_id"], node["end_id"]))
+    def held(p: Column, at: Column) -> Column:
+        start = _start(p)
+        inside = (at["node_id"] >= start) & (at["end_id"] < start + F.size(p))
+        # a run gives it by place
+        return F.when(inside, F.slice(p, at["node_id"] - start + 1, at["end_id"] - at["node_id"] + 1)).otherwise(
+            F.filter(p, lambda n: n["node_id"].between(at["node_id"], at["end_id"]))
+        )
+
+    return once(part, lambda p: once(node, lambda at: held(p, at)))
 
 
 def children(part: Column, node: Column) -> Column:

@@ -54,34 +54,28 @@ def card_rows(pages: DataFrame, rules: DataFrame, keep: Sequence[str] = ()) -> D
         found,
         lambda c: r("must_hold").isNull() | (F.size(dom.select_any(dom.subtree(nodes, c), r("must_hold"), nodes)) > 0),
     )
+    # each field's nodes, within the card: read while the page is at hand, so that no card carries a page along
+    def fields_of(c: Column) -> Column:
+        part = dom.subtree(nodes, c)
+        pick = lambda rule: dom.select_any(part, r(rule), nodes)
+        link = F.when(r("link_has").isNotNull(), dom.having(part, F.element_at("link", 1), r("link_has"))).otherwise(pick("link"))
+        above = F.filter(F.transform(c["up"], lambda i: dom.attr(F.get(nodes, i - 1), r("date_attr"))), lambda value: value.isNotNull())
+        return F.struct(
+            link.alias("link_nodes"), pick("link_fallback").alias("fallback_nodes"), pick("title").alias("title_nodes"),
+            pick("date_at").alias("date_nodes"), pick("month").alias("month_nodes"), pick("day").alias("day_nodes"),
+            pick("poster").alias("poster_nodes"), pick("card_copy").alias("copy_nodes"), part.alias("part"),
+            F.try_element_at(above, F.lit(-1)).alias("block"),
+        )
+
     # an outer explode keeps a page without cards as one row, which is what ends a walk
-    card = parsed.withColumn("found", kept).select("*", F.posexplode_outer("found").alias("item_no", "card")).drop("found")
-    # each field's nodes, within the card
-    part = dom.subtree(nodes, F.col("card"))
-    card = card.withColumn("part", part)
+    read_off = parsed.withColumn("found", F.transform(kept, fields_of)).drop("nodes")
+    card = read_off.select("*", F.posexplode_outer("found").alias("item_no", "card")).drop("found")
     part = F.col("part")
-    pick = lambda rule: dom.select_any(part, r(rule), nodes)
-    link = F.when(r("link_has").isNotNull(), dom.having(part, F.element_at("link", 1), r("link_has"))).otherwise(pick("link"))
     fields = card.select(
         *keep, "venue_id", F.col("url").alias("page_url"), "page_no", "under", "title_first", "tidy_title", "date_attr", "date_kind",
         "date_pattern", "century", "year_rule", "poster_kind", "house_image", "distinct_links",
         "item_no", page_position(F.col("page_no"), F.coalesce("item_no", F.lit(0))).alias("listing_pos"),
-        link.alias("link_nodes"), pick("link_fallback").alias("fallback_nodes"),
-        pick("title").alias("title_nodes"), pick("date_at").alias("date_nodes"), pick("month").alias("month_nodes"),
-        pick("day").alias("day_nodes"), pick("poster").alias("poster_nodes"), pick("card_copy").alias("copy_nodes"),
-        r("card_copy").isNotNull().alias("has_card_copy"), "poster_attrs", "part",
-        F.element_at(
-            F.concat(
-                F.array(F.lit(None).cast("string")),
-                F.transform(
-                    F.filter(
-                        nodes, lambda n: (n["node_id"] < F.col("card.node_id")) & (F.col("card.node_id") <= n["end_id"])
-                        & dom.attr(n, r("date_attr")).isNotNull(),
-                    ),
-                    lambda n: dom.attr(n, r("date_attr")),
-                ),
-            ), -1,
-        ).alias("block"),
+        r("card_copy").isNotNull().alias("has_card_copy"), "poster_attrs", "card.*",
     )
     text = lambda column: F.coalesce(dom.joined_text(F.col(column), part), F.lit(""))
     href = _absolute(_attr_of(F.col("link_nodes"), F.lit("href")), F.col("page_url"))

@@ -1,8 +1,8 @@
 """Pages as arrays of nodes.
 
 A page's tree is built once, next to the page, and stays in the page's row: nodes are numbered in
-document order from 1 and carry the number of their last descendant, so selecting, descending and
-reading text are array expressions over one row and need no shuffle (``operators.dom``).
+document order from 1 and carry their ancestors' numbers and that of their last descendant, so
+selecting, descending and reading text are array expressions over one row and need no shuffle (``operators.dom``).
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 
 NODE_SCHEMA = (
     "array<struct<node_id: int, end_id: int, depth: int, tag: string, classes: array<string>, "
-    "attrs: map<string, string>, text: string>>"
+    "attrs: map<string, string>, text: string, up: array<int>>>"
 )
 TEXT = "#text"
 
@@ -58,6 +58,7 @@ class _Tree(HTMLParser):
         node = {
             "node_id": len(self.nodes) + 1, "end_id": len(self.nodes) + 1, "depth": len(self.open), "tag": tag,
             "classes": next((v for k, v in attrs if k == "class" and v), "").split(), "attrs": attrs, "text": text,
+            "up": [n["node_id"] for n in self.open],
         }
         self.nodes.append(node)
         return node
@@ -122,7 +123,7 @@ def nodes_of(html: str | None) -> list[dict] | None:
 _ARROW = pa.list_(
     pa.struct([
         ("node_id", pa.int32()), ("end_id", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()),
-        ("classes", pa.list_(pa.string())), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()),
+        ("classes", pa.list_(pa.string())), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("up", pa.list_(pa.int32())),
     ])
 )
 

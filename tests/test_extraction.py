@@ -1,12 +1,16 @@
 """Each source's rules against a page shaped as that source's is."""
 
 import datetime as dt
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from listinglake.model import PAGES_SCHEMA
-from listinglake.operators import extraction
+from listinglake.operators import dom, extraction
+from listinglake.session import durable
 from listinglake.sources import rules
+from listinglake.sources.html import with_nodes
 from listinglake.venues import POSTER_ONLY, VENUE_IDS
 
 D = dt.date
@@ -215,3 +219,29 @@ def test_failures_take_out_only_their_venue(spark):
     errors = {r.venue_id: r.error for r in failed.collect()}
     assert errors["dingwalls"].startswith("Gig url https://elsewhere.example.org/d isn't under https://dingwalls.com/gig/")
     assert errors["roundhouse"] == "No description found on event page https://www.roundhouse.org.uk/whats-on/r/"
+
+
+def long_page(spark, n):
+    markup = "<body><div class=box>" + "".join(f"<p>word {i}</p>" for i in range(n)) + "</div><p>out</p></body>"
+    return durable(with_nodes(spark.createDataFrame([(markup,)], "html string"), "html"))
+
+
+def test_scoped_selection_grows_with_the_page(spark):
+    def seconds(page):
+        found = dom.select(F.col("nodes"), dom.selector(tag="p", in_class="box"))
+        started = time.perf_counter()
+        page.select(F.length(dom.joined_text(found, F.col("nodes")))).collect()
+        return time.perf_counter() - started
+
+    small, large = long_page(spark, 5_000), long_page(spark, 10_000)
+    seconds(small)
+    assert seconds(large) < 3 * seconds(small) + 1
+
+
+def test_ancestors_are_found_in_a_part_with_gaps(spark):
+    nodes = F.col("nodes")
+    gone = dom.without(nodes, F.slice(dom.select(nodes, dom.selector(tag="p")), 3, 2))
+    inside = lambda part: F.size(dom.select(part, dom.selector(tag="p", in_class="box")))
+    first = lambda part: dom.text_of(dom.within(part, dom.first(dom.select(nodes, dom.selector(classes=["box"])))))
+    found = long_page(spark, 5).select(inside(nodes).alias("a"), inside(gone).alias("b"), first(nodes).alias("c"), first(gone).alias("d")).first()
+    assert found == (5, 3, "word 0 word 1 word 2 word 3 word 4", "word 0 word 1 word 4")

@@ -30,6 +30,18 @@ def test_verdicts_aggregate_by_hash(spark, sf):
     assert "HashAggregate" in plan and "SortAggregate" not in plan
 
 
+def test_date_ranges_compile(spark, sf):
+    """Every stage's generated code is within what the compiler takes, so none falls back."""
+    debug = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # stages are formed at once
+    try:
+        stages = debug.codegenStringSeq(QUERIES["date_range"](spark, sf)._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert stages.size() > 0
+    assert all(0 < stages.apply(i)._3().maxMethodCodeSize() < 65_536 for i in range(stages.size()))
+
+
 def test_scans_read_only_what_they_need(spark, sf):
     plan = QUERIES["last_scraped"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     scan = next(line for line in plan.splitlines() if "FileScan" in line)
