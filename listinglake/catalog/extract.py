@@ -18,8 +18,9 @@ def docs(spark, sf):
     return t.table(spark, sf, "documents")
 
 
-def first_line():
-    return F.element_at(F.split("text", "\n"), 1)
+def escaped_text():
+    """The whole text as a page would hold it."""
+    return F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
 
 
 # every line of every text is a title
@@ -411,7 +412,7 @@ def search_bodies(spark, sf):
     url = F.concat(F.lit("https://www.ticketmaster.co.uk/e/"), F.col("doc_id").cast("string"), F.lit("?ref=x"))
     ticket = F.array(F.struct(url.alias("ticketUrl")))
     none = F.slice(ticket, 1, 0)
-    html = F.concat(F.lit("<p><b>Hi</b> &amp; "), F.replace(F.replace(first_line(), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</p>"))
+    html = F.concat(F.lit("<p><b>Hi</b> &amp; "), escaped_text(), F.lit("</p>"))
     copy = F.when(n % 3 == 0, F.lit("<p>Sorry, this show has been cancelled.</p>")).when(n % 3 == 1, F.lit(" <br> ")).otherwise(html)
 
     def event(number, tickets, copies):
@@ -427,7 +428,7 @@ def search_bodies(spark, sf):
     return docs(spark, sf).select(F.col("source").alias("venue_id"), "doc_id", F.to_json(F.struct(events.alias("documents"))).alias("body"))
 
 
-SEARCHED_SQL = """searched AS (SELECT source AS venue_id, doc_id, lang, source, n_chars, split_part(text, chr(10), 1) AS line, unnest([0, 1]) AS item_no FROM documents)"""
+SEARCHED_SQL = """searched AS (SELECT source AS venue_id, doc_id, lang, source, n_chars, text, unnest([0, 1]) AS item_no FROM documents)"""
 
 
 @query("json_listing", with_ctes(SEARCHED_SQL, """SELECT venue_id, doc_id, item_no, 'Event ' || (item_no + 1) || ' ' || lang AS title, 'https://www.ticketmaster.co.uk/e/' || doc_id AS url,
@@ -441,7 +442,7 @@ def json_listing(spark, sf):
 
 
 @query("desc_fallback", with_ctes(SEARCHED_SQL, r"""SELECT doc_id, item_no, CASE WHEN item_no = 1 OR n_chars % 3 <> 2 THEN 'Lineup: Act 1 of ' || source || ', Act 2 of ' || source || '. Genre: ' || lang || '.'
-    ELSE trim(regexp_replace('Hi & ' || line, '[\s\x{a0}]+', ' ', 'g')) END AS description FROM searched WHERE (item_no = 0 OR n_chars % 4 <> 0)"""))
+    ELSE trim(regexp_replace('Hi & ' || text, '[\s\x{a0}]+', ' ', 'g')) END AS description FROM searched WHERE (item_no = 0 OR n_chars % 4 <> 0)"""))
 def desc_fallback(spark, sf):
     """Each event's copy, or its acts and genres."""
     bodies = search_bodies(spark, sf)
@@ -454,7 +455,14 @@ def ticketless(spark, sf):
     return payloads.ticketless_report(payloads.search_events(search_bodies(spark, sf), ["venue_id"]))
 
 
-def partner_bodies(spark, sf):
+@query("ticketless_names", with_ctes(SEARCHED_SQL, "SELECT venue_id, doc_id, 'Event' || chr(160) || '2 ' || lang AS name FROM searched WHERE item_no = 1 AND n_chars % 4 = 0"))
+def ticketless_names(spark, sf):
+    """Each event that has no ticket link, by name."""
+    events = payloads.search_events(search_bodies(spark, sf), ["venue_id", "doc_id"])
+    return payloads.ticketless(events).select("venue_id", "doc_id", F.col("event.name").alias("name"))
+
+
+def partner_bodies(spark, sf, *keep):
     """Every event as one partner answer: a gig at its instant, in the zone its user names."""
     e = F.struct(
         F.concat(F.lit("Gig  "), F.col("event_type")).alias("name"), F.concat(F.lit("gig-"), F.col("event_id").cast("string")).alias("perm_name"),
@@ -464,7 +472,7 @@ def partner_bodies(spark, sf):
         F.when(F.col("event_type") == "error", "cancelled").otherwise("on-sale").alias("status"),
     )
     return t.table(spark, sf, "events").select(
-        F.concat(F.lit("v"), F.col("user_id").cast("string")).alias("venue_id"), F.to_json(F.struct(F.array(e).alias("data"), F.struct(F.lit(None).cast("string").alias("next")).alias("links"))).alias("body")
+        *keep, F.concat(F.lit("v"), F.col("user_id").cast("string")).alias("venue_id"), F.to_json(F.struct(F.array(e).alias("data"), F.struct(F.lit(None).cast("string").alias("next")).alias("links"))).alias("body")
     )
 
 

@@ -95,7 +95,7 @@ scored AS (SELECT *, CASE WHEN n % 5 = 0 THEN NULL WHEN n % 4 IN (0, 2) THEN 'Me
 
 @query("score", with_ctes(t.LISTING_SQL, ROUTED_SQL, SCORED_SQL, "SELECT venue_id, url, genre, input_tokens, output_tokens, error FROM scored"))
 def score(spark, sf):
-    found = c.outcomes(c.score(c.routed(t.listing(spark, sf)), example_judge))
+    found = c.outcomes(c.score(c.routed(t.listing(spark, sf)), c.one_by_one(example_judge)))
     return found.select(*KEY, "genre", "input_tokens", "output_tokens", "error")
 
 
@@ -134,17 +134,19 @@ def cost_report(spark, sf):
     return c.cost_report(t.verdicts(spark, sf))
 
 
-@query("classify_summary", _rec(*LOG_STATE, METAL_SQL, """outcome AS (SELECT venue_id, url, length('Title: ' || title || 'xx' || 'Event page text: ' || description) AS n
+JUDGED_SQL = """outcome AS (SELECT venue_id, url, length('Title: ' || title || 'xx' || 'Event page text: ' || description) AS n
     FROM current c WHERE NOT EXISTS (SELECT 1 FROM status s WHERE s.venue_id = c.venue_id AND s.url = c.url)),
-  judged AS (SELECT *, n % 5 = 0 OR n % 4 = 3 AS failed, n % 5 <> 0 AND n % 4 IN (0, 2) AS metal FROM outcome)
-  SELECT count(*) FILTER (NOT failed) AS classified, count(*) FILTER (metal) AS metal, count(*) FILTER (NOT failed AND NOT metal) AS other,
+  judged AS (SELECT *, n % 5 = 0 OR n % 4 = 3 AS failed, n % 5 <> 0 AND n % 4 IN (0, 2) AS metal FROM outcome)"""
+
+
+@query("classify_summary", _rec(*LOG_STATE, METAL_SQL, JUDGED_SQL, """SELECT count(*) FILTER (NOT failed) AS classified, count(*) FILTER (metal) AS metal, count(*) FILTER (NOT failed AND NOT metal) AS other,
     count(*) FILTER (failed) AS failed FROM judged"""))
 def classify_summary(spark, sf):
     """One run over every unclassified gig of the log, its verdicts then read back off the log."""
     entries = t.log(spark, sf)
     current = durable(p.current_gigs(entries))
     asked = c.routed(c.to_classify(current, p.already_classified(entries)))
-    outcome = durable(c.outcomes(c.score(asked, example_judge)))
+    outcome = durable(c.outcomes(c.score(asked, c.one_by_one(example_judge))))
     now = c.verdict_entries(outcome, F.lit("2024-07-01 00:00:00").cast("timestamp_ntz")).withColumn("seq", F.lit(1 << 40).cast("bigint"))
     after = entries.unionByName(now, allowMissingColumns=True)
     return report.classify_summary(outcome, p.metal_of(current, p.class_status(after)))
@@ -184,7 +186,7 @@ def unresolved_soonest(spark, sf):
     (SELECT count(*) FROM logged WHERE trim(description) = '') AS without_text"""))
 def scrape_summary(spark, sf):
     batch = batch_of(spark, sf)
-    failed = gate.failed_venues(gate.claims_of(batch))
+    failed = gate.failing(batch)
     changed = durable(p.new_or_changed(batch.listing, batch.previous))
     return report.scrape_summary(batch.listing, changed, gate.passed(changed, failed))
 
@@ -195,7 +197,7 @@ def scrape_summary(spark, sf):
 def to_log(spark, sf):
     """Changed rows less the withheld ones: what a scrape appends."""
     batch = batch_of(spark, sf)
-    failed = gate.failed_venues(gate.claims_of(batch))
+    failed = gate.failing(batch)
     return gate.passed(p.new_or_changed(batch.listing, batch.previous), failed).select(*KEY, "title")
 
 
@@ -387,6 +389,16 @@ def size_cap(spark, sf):
     return t.table(spark, sf, "pages").select("page_id", posters.within_size(F.col("html")).alias("fits"))
 
 
+@query("images_too_large", """WITH images AS (SELECT url AS image_url, octet_length(encode(html)) + CASE page_id % 5 WHEN 0 THEN 7000000 WHEN 1 THEN 7000000 - octet_length(encode(html)) ELSE 0 END AS bytes FROM pages)
+  SELECT image_url, CAST(bytes AS INTEGER) AS bytes, 'Image at ' || image_url || ' is ' || bytes || ' bytes, too large to send (limit ~7000000)' AS error FROM images WHERE bytes > 7000000""")
+def images_too_large(spark, sf):
+    """Pages as images, a fifth of them padded over the limit, a fifth exactly to it."""
+    own, kind = F.octet_length("html"), F.col("page_id") % 5
+    padding = F.when(kind == 0, posters.MAX_IMAGE_BYTES).when(kind == 1, posters.MAX_IMAGE_BYTES - own).otherwise(0)
+    content = F.concat("html", F.repeat(F.lit("."), padding))
+    return posters.too_large(t.table(spark, sf, "pages").select(F.col("url").alias("image_url"), content.alias("content")))
+
+
 @query("image_mime", """WITH asked AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN ' image/avif; q=1' WHEN 1 THEN ' ' END AS header,
     url || CASE page_id % 5 WHEN 0 THEN '/a.PNG?x=1' WHEN 1 THEN '/a.gif' WHEN 2 THEN '/a.webp' WHEN 3 THEN '/noext' ELSE '/b.jpeg' END AS url FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS url FROM pages))
   SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'image/avif' ELSE CASE page_id % 5 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/gif' WHEN 2 THEN 'image/webp' ELSE 'image/jpeg' END END AS mime FROM asked""")

@@ -176,7 +176,7 @@ def quality_report(spark, sf):
 @query("withheld", with_ctes(*GATE_SQL, "SELECT venue_id, url, listing_pos FROM listing WHERE venue_id IN (SELECT venue_id FROM claims WHERE gig IS NOT NULL)"))
 def withheld(spark, sf):
     batch = batch_of(spark, sf)
-    failed = gate.failed_venues(gate.claims_of(batch))
+    failed = gate.failing(batch)
     return gate.withheld(batch.listing, failed).select(*KEY, "listing_pos")
 
 
@@ -227,7 +227,7 @@ def url_verdict(spark, sf):
 def replacements(spark, sf):
     """Relisting over the venues that passed the gate."""
     batch = batch_of(spark, sf)
-    failed = gate.failed_venues(gate.claims_of(batch))
+    failed = gate.failing(batch)
     return relisting.replacements(
         gate.passed(batch.listing, failed), gate.passed(batch.previous, failed),
         t.url_status(spark, sf), F.lit(TODAY).cast("date"),

@@ -9,6 +9,7 @@ from listinglake.functions.urls import first_not_blank, resolved, without_query
 from listinglake.operators import dom
 from listinglake.operators.extraction import LISTING, page_copy, with_errors
 from listinglake.operators.listings import dedupe_first, page_position, silent_venues
+from listinglake.skew import attach
 from listinglake.sources import payloads
 from listinglake.sources.html import with_nodes
 
@@ -29,7 +30,7 @@ def _failures(reasons: DataFrame) -> DataFrame:
 
 
 def _checked(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    return with_errors(rows.join(F.broadcast(rules.select("venue_id", "under")), "venue_id")).select(*LISTING, "error")
+    return with_errors(attach(rows, rules.select("venue_id", "under"), ["venue_id"], "inner")).select(*LISTING, "error")
 
 
 def _unread(events: DataFrame) -> DataFrame:

@@ -44,25 +44,54 @@ def routed(gigs: DataFrame) -> DataFrame:
 
 # Given one routed row: the reply, and the tokens billed for it where known. May raise.
 Judge = Callable[[dict], tuple[str, int | None, int | None]]
+# Given a batch of them: for each, in order, what a ``Judge`` returns or the exception it would raise.
+BatchJudge = Callable[[list[dict]], list[tuple[str, int | None, int | None] | Exception]]
 
 _SCORED = "reply string, input_tokens int, output_tokens int, error string"
 
 
-def score(asked: DataFrame, judge: Judge) -> DataFrame:
-    """Ask ``judge`` about every routed row. One that raises keeps its reason and loses no other.
+def one_by_one(judge: Judge) -> BatchJudge:
+    """A judge of single rows as one of batches; a row that raises loses no other."""
 
-    Judging waits on a model, so the rows are asked where they lie, a batch at a time.
+    def ask(rows: list[dict]) -> list:
+        answers = []
+        for row in rows:
+            try:
+                answers.append(judge(row))
+            except Exception as problem:  # noqa: BLE001
+                answers.append(problem)
+        return answers
+
+    return ask
+
+
+def score(asked: DataFrame, judge: BatchJudge, kept: DataFrame | None = None) -> DataFrame:
+    """Put every routed row to ``judge``, a batch at a time where the rows lie.
+
+    A row whose answer is an exception keeps its reason; a batch that raises as a whole, or answers
+    another number of rows, fails as a whole. ``kept`` holds earlier results of this function: a row
+    with the same key, model and prompt that has a reply there is not asked (and paid for) again.
     """
+    if kept is not None:
+        same = [*KEY, "llm_model", F.sha2("prompt", 256).alias("_asked")]
+        had = kept.where(F.col("reply").isNotNull()).select(*same, "reply", "input_tokens", "output_tokens", "error").dropDuplicates([*KEY, "llm_model", "_asked"])
+        keyed = asked.withColumn("_asked", F.sha2("prompt", 256))
+        on = [*KEY, "llm_model", "_asked"]
+        again = keyed.join(had.select(*on), on, "left_anti").select(*asked.columns)
+        reused = keyed.join(had, on).select(*asked.columns, "reply", "input_tokens", "output_tokens", "error")
+        return score(again, judge).unionByName(reused)
     columns = asked.columns
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            answers = []
-            for row in batch.to_dict("records"):
-                try:
-                    answers.append((*judge(row), None))
-                except Exception as problem:  # noqa: BLE001
-                    answers.append((None, None, None, str(problem) or repr(problem)))
+            rows = batch.to_dict("records")
+            try:
+                said = list(judge(rows))
+                if len(said) != len(rows):
+                    raise ValueError(f"{len(said)} answers to {len(rows)} rows")
+            except Exception as problem:  # noqa: BLE001
+                said = [problem] * len(rows)
+            answers = [(None, None, None, str(a) or repr(a)) if isinstance(a, Exception) else (*a, None) for a in said]
             found = pd.DataFrame(answers, columns=["reply", "input_tokens", "output_tokens", "error"], index=batch.index)
             for name in ("input_tokens", "output_tokens"):
                 found[name] = found[name].astype("Int32")

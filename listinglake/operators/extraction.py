@@ -1,6 +1,6 @@
 """Fetched pages to listing rows, by rules: one plan for all venues.
 
-Rules join to pages by broadcast; everything a rule reads is in its page's row. The only shuffles
+Rules join to pages by broadcast, once their size is counted; everything a rule reads is in its page's row. The only shuffles
 are the ones the result needs: cards meeting their event pages, and venue-wide order and failures.
 """
 
@@ -45,7 +45,7 @@ def card_rows(pages: DataFrame, rules: DataFrame, keep: Sequence[str] = ()) -> D
     the result: key, place, ``title``, ``date`` or ``month`` and ``day``, ``poster``, ``card_copy``,
     and the page's own columns named in ``keep``.
     """
-    parsed = with_nodes(pages, "body").join(F.broadcast(rules.withColumnRenamed("date", "date_at")), "venue_id")
+    parsed = attach(with_nodes(pages, "body"), rules.withColumnRenamed("date", "date_at"), ["venue_id"], "inner")
     nodes, r = F.col("nodes"), F.col
     found = F.when(
         r("card_has").isNotNull(), dom.having(nodes, F.element_at("cards", 1), r("card_has"))
@@ -188,7 +188,7 @@ def page_copy(event_pages: DataFrame, rules: DataFrame) -> DataFrame:
 
     No match is null, which fails the venue; a match that says nothing is ``""``, which does not.
     """
-    parsed = with_nodes(event_pages, "body").join(F.broadcast(rules), "venue_id")
+    parsed = attach(with_nodes(event_pages, "body"), rules, ["venue_id"], "inner")
     nodes, r = F.col("nodes"), F.col
     matched = dom.select_any(nodes, r("content"))
     content = F.when(F.coalesce(r("content_first"), F.lit(False)), F.slice(matched, 1, 1)).otherwise(matched)

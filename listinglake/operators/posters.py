@@ -24,6 +24,15 @@ def within_size(content: Column) -> Column:
     return F.octet_length(content) <= MAX_IMAGE_BYTES
 
 
+def too_large(images: DataFrame) -> DataFrame:
+    """Images (``image_url, content``) that are not sent, each with its failure."""
+    size = F.octet_length("content")
+    message = F.concat(  # fixed value: the text of the failure
+        F.lit("Image at "), "image_url", F.lit(" is "), size.cast("string"), F.lit(f" bytes, too large to send (limit ~{MAX_IMAGE_BYTES})")
+    )
+    return images.where(~within_size(F.col("content"))).select("image_url", size.alias("bytes"), message.alias("error"))
+
+
 def _listed(reply: Column) -> Column:
     """The reply's lines that are wholly ``yyyy-MM-dd | Title``, trimmed."""
     lines = F.transform(F.split(reply, r"\r\n|\n|\r"), stripped)

@@ -13,14 +13,14 @@ from listinglake.skew import attach
 
 # Words per phrase, share of a row's words that marks it, rows worth comparing.
 PHRASE_WORDS, MARKED_SHARE, LEAST_ROWS = 6, 0.5, 3
-# Phrases of a venue fall into this many counters in the first pass, a multiple of 64.
+# The fewest counters that a venue's phrases fall into in the first pass, a multiple of 64.
 COUNTERS = 4096
 
 
-def phrase_counters(found: Column, counters: int) -> Column:
+def phrase_counters(found: Column, counters: Column) -> Column:
     """The counter each run of six words falls into, in order; null for texts shorter than that."""
     starts = F.sequence(F.lit(1), F.greatest(F.size(found) - PHRASE_WORDS + 1, F.lit(1)))
-    counter = lambda run: F.pmod(F.xxhash64(run), F.lit(counters)).cast("int")
+    counter = lambda run: F.pmod(F.xxhash64(run), counters).cast("int")
     runs = once(
         F.transform(found, lambda w: F.xxhash64(w)),
         lambda hashed: F.transform(starts, lambda i: counter(F.slice(hashed, i, PHRASE_WORDS))),
@@ -28,14 +28,28 @@ def phrase_counters(found: Column, counters: int) -> Column:
     return F.when(F.size(found) >= PHRASE_WORDS, runs)
 
 
-def _bitmaps(likely: DataFrame, counters: int) -> DataFrame:
-    """Each venue's counters as an array of 64-bit masks, of fixed size whatever the venue's."""
+def counters_for(longest: Column, least: int) -> Column:
+    """Counters of a venue whose longest text has so many characters: a power of two times ``least``.
+
+    A text of n characters has at most n / 2 words, in practice a sixth of n, so one text never
+    sets more than half of the counters, however long it is.
+    """
+    doublings = F.ceil(F.log2(F.greatest(longest / least, F.lit(1.0)))).cast("int")
+    return F.call_function("shiftleft", F.lit(least).cast("bigint"), doublings)
+
+
+def _bitmaps(likely: DataFrame) -> DataFrame:
+    """Each venue's counters as an array of 64-bit masks, about an eighth as long as its longest text."""
     masks = likely.groupBy("venue_id", F.floor(F.col("counter") / 64).cast("int").alias("i")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("counter") % 64)).alias("mask")
     )
     by_venue = masks.groupBy("venue_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "mask"))).alias("m"))
-    full = F.transform(F.sequence(F.lit(0), F.lit(counters // 64 - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("bigint")))
-    return by_venue.select("venue_id", full.alias("bits"))
+    return by_venue.select("venue_id", "m")
+
+
+def _filled(counters: Column) -> Column:
+    places = F.sequence(F.lit(0), (counters / 64 - 1).cast("int"))
+    return F.transform(places, lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("bigint")))
 
 
 def contaminated(listing: DataFrame, counters: int = COUNTERS) -> DataFrame:
@@ -43,17 +57,17 @@ def contaminated(listing: DataFrame, counters: int = COUNTERS) -> DataFrame:
 
     ``listing`` has ``venue_id, listing_pos, gig, description``. A phrase is shared when at least
     ``max(2, ceil(rows / 2))`` distinct gigs hold it. Sending every phrase of every text through a
-    shuffle would dwarf the texts, so a first pass counts phrases into a fixed number of counters
-    per venue, combined before the shuffle: a counter below the threshold cannot hold a shared
+    shuffle would dwarf the texts, so a first pass counts phrases into counters, at least ``counters``
+    per venue and as many as its longest text calls for, combined before the shuffle: a counter below the threshold cannot hold a shared
     phrase. The second pass lets through only phrases of the other counters, and counts those by
     their words. Nothing is missed, since a counter is never less than any phrase in it.
     """
     rows = listing.where(not_blank(F.col("description")))
     venues = durable(
-        rows.groupBy("venue_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_ROWS)
-        .select("venue_id", F.greatest(F.lit(2), F.ceil(F.col("n") / 2)).cast("bigint").alias("need"))
+        rows.groupBy("venue_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("description")).alias("longest")).where(F.col("n") >= LEAST_ROWS)
+        .select("venue_id", F.greatest(F.lit(2), F.ceil(F.col("n") / 2)).cast("bigint").alias("need"), counters_for(F.col("longest"), counters).alias("counters"))
     )
-    split = lambda df: df.withColumn("w", words(F.col("description"))).withColumn("runs", phrase_counters(F.col("w"), counters))
+    split = lambda df: df.withColumn("w", words(F.col("description"))).withColumn("runs", phrase_counters(F.col("w"), F.col("counters")))
 
     counted = split(attach(rows, venues, ["venue_id"], "inner")).select(
         "venue_id", "need", F.explode(F.array_distinct("runs")).alias("counter")
@@ -61,9 +75,8 @@ def contaminated(listing: DataFrame, counters: int = COUNTERS) -> DataFrame:
     likely = durable(
         _bitmaps(
             counted.groupBy("venue_id", "counter").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need"))
-            .where(F.col("n") >= F.col("need")),
-            counters,
-        ).join(venues, "venue_id")
+            .where(F.col("n") >= F.col("need"))
+        ).join(venues, "venue_id").select("venue_id", "need", "counters", _filled(F.col("counters")).alias("bits"))
     )
     is_likely = lambda c: F.call_function("getbit", F.element_at("bits", F.floor(c / 64).cast("int") + 1), c % 64) == 1
     kept = F.filter(

@@ -78,6 +78,15 @@ def failed_venues(claims: DataFrame) -> DataFrame:
     return durable(claims.where(F.col("gig").isNotNull()).select("venue_id").distinct())
 
 
+def failing(batch: Batch, checks: Sequence[Check] = CHECKS) -> DataFrame:
+    """The venues that ``failed_venues`` would name, where no report is wanted.
+
+    Only venue ids leave a check, folded before the shuffle; no claim is written and no row meets its detail.
+    """
+    named = [c.claims(batch).where(F.col("gig").isNotNull()).select("venue_id").distinct() for c in checks]
+    return durable(reduce(DataFrame.unionByName, named).distinct())
+
+
 def withheld(listing: DataFrame, failed: DataFrame) -> DataFrame:
     """Rows of failed venues; ``failed`` is durable."""
     return attach(listing, failed, ["venue_id"], "left_semi")

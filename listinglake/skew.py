@@ -58,7 +58,8 @@ def salted_join(
 
     The salt comes from the row itself, so a task that is run again puts each row where it was.
     """
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(salts)).cast("int")
+    hashed = [F.col(c) for c, kind in rows.dtypes if "map<" not in kind]  # maps have no hash
+    spread = F.pmod(F.xxhash64(*hashed), F.lit(salts)).cast("int")
     left = rows.withColumn("_salt", spread)
     right = summary.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*on, "_salt"], how).drop("_salt")

@@ -54,7 +54,7 @@ def test_one_failure_loses_no_other_row(spark):
     gigs = spark.createDataFrame([("v", k, "t", "p", text) for k, text in (("a", "y" * 80), ("b", "y" * 79), ("c", ""))], "venue_id string, url string, title string, poster_url string, description string")
     routed = c.routed(gigs)
     assert rows(routed, "url", "use_vision", "llm_model") == [("a", False, TEXT_MODEL), ("b", True, VISION_MODEL), ("c", True, VISION_MODEL)]
-    outcome = c.outcomes(c.score(routed, judge))
+    outcome = c.outcomes(c.score(routed, c.one_by_one(judge)))
     assert rows(outcome, "url", "genre", "input_tokens", "error") == [("a", "Metal", 10, None), ("b", None, None, "poster too large"), ("c", None, None, 'Unexpected reply: "no idea"')]
 
 
