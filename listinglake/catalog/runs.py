@@ -10,7 +10,7 @@ from listinglake.catalog.extract import SEARCHED_SQL, calendar_bodies, docs, esc
 from listinglake.catalog.pages import ARTICLE_SQL, shown
 from listinglake.catalog.publish import JUDGED_SQL, LOG_STATE, METAL_SQL, TODAY, example_judge, today
 from listinglake.catalog.registry import query, with_ctes
-from listinglake.operators import api_listing, classification as c, extraction
+from listinglake.operators import api_listing, extraction
 from listinglake.plans import classify, render
 from listinglake.plans.daily import daily
 from listinglake.session import durable, working_folder
@@ -179,7 +179,7 @@ def daily_twice(spark, sf):
 
     def classified():
         log = log_source.read_log(spark, path)
-        log_source.append(log, classify.classify(log, c.one_by_one(example_judge), at).entries, path)
+        log_source.append(log, classify.classify(log, example_judge, at).entries, path)
 
     def rendered():
         log = log_source.read_log(spark, path)

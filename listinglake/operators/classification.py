@@ -65,7 +65,12 @@ def one_by_one(judge: Judge) -> BatchJudge:
     return ask
 
 
-def score(asked: DataFrame, judge: BatchJudge, kept: DataFrame | None = None) -> DataFrame:
+def score(asked: DataFrame, judge: Judge, kept: DataFrame | None = None) -> DataFrame:
+    """Ask ``judge`` about every routed row. One that raises keeps its reason and loses no other."""
+    return score_batches(asked, one_by_one(judge), kept)
+
+
+def score_batches(asked: DataFrame, judge: BatchJudge, kept: DataFrame | None = None) -> DataFrame:
     """Put every routed row to ``judge``, a batch at a time where the rows lie.
 
     A row whose answer is an exception keeps its reason; a batch that raises as a whole, or answers
@@ -79,7 +84,7 @@ def score(asked: DataFrame, judge: BatchJudge, kept: DataFrame | None = None) ->
         on = [*KEY, "llm_model", "_asked"]
         again = keyed.join(had.select(*on), on, "left_anti").select(*asked.columns)
         reused = keyed.join(had, on).select(*asked.columns, "reply", "input_tokens", "output_tokens", "error")
-        return score(again, judge).unionByName(reused)
+        return score_batches(again, judge).unionByName(reused)
     columns = asked.columns
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -38,18 +38,16 @@ def counters_for(longest: Column, least: int) -> Column:
     return F.call_function("shiftleft", F.lit(least).cast("bigint"), doublings)
 
 
-def _bitmaps(likely: DataFrame) -> DataFrame:
+def _bitmaps(likely: DataFrame, venues: DataFrame) -> DataFrame:
     """Each venue's counters as an array of 64-bit masks, about an eighth as long as its longest text."""
-    masks = likely.groupBy("venue_id", F.floor(F.col("counter") / 64).cast("int").alias("i")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("counter") % 64)).alias("mask")
-    )
-    by_venue = masks.groupBy("venue_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "mask"))).alias("m"))
-    return by_venue.select("venue_id", "m")
-
-
-def _filled(counters: Column) -> Column:
-    places = F.sequence(F.lit(0), (counters / 64 - 1).cast("int"))
-    return F.transform(places, lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("bigint")))
+    place = F.floor(F.col("counter") / 64).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("counter") % 64)
+    places = F.explode(F.sequence(F.lit(0), (F.col("counters") / 64 - 1).cast("int")))
+    every = venues.select("venue_id", places.alias("i"), F.lit(0).cast("bigint").alias("mask"))
+    masks = likely.select("venue_id", place.alias("i"), bit.alias("mask")).unionByName(every)
+    in_order = masks.groupBy("venue_id", "i").agg(F.bit_or("mask").alias("mask")).groupBy("venue_id").agg(F.array_sort(F.collect_list(F.struct("i", "mask"))).alias("m"))
+    bits = F.transform("m", lambda x: x["mask"])
+    return in_order.select("venue_id", bits.alias("bits")).where(F.exists("bits", lambda m: m != 0))
 
 
 def contaminated(listing: DataFrame, counters: int = COUNTERS) -> DataFrame:
@@ -75,8 +73,9 @@ def contaminated(listing: DataFrame, counters: int = COUNTERS) -> DataFrame:
     likely = durable(
         _bitmaps(
             counted.groupBy("venue_id", "counter").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need"))
-            .where(F.col("n") >= F.col("need"))
-        ).join(venues, "venue_id").select("venue_id", "need", "counters", _filled(F.col("counters")).alias("bits"))
+            .where(F.col("n") >= F.col("need")),
+            venues,
+        ).join(venues, "venue_id")
     )
     is_likely = lambda c: F.call_function("getbit", F.element_at("bits", F.floor(c / 64).cast("int") + 1), c % 64) == 1
     kept = F.filter(

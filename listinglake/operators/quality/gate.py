@@ -83,7 +83,8 @@ def failing(batch: Batch, checks: Sequence[Check] = CHECKS) -> DataFrame:
 
     Only venue ids leave a check, folded before the shuffle; no claim is written and no row meets its detail.
     """
-    named = [c.claims(batch).where(F.col("gig").isNotNull()).select("venue_id").distinct() for c in checks]
+    found = side_by_side([partial(c.claims, batch) for c in checks])
+    named = [claims.where(F.col("gig").isNotNull()).select("venue_id").distinct() for claims in found]
     return durable(reduce(DataFrame.unionByName, named).distinct())
 
 

@@ -24,16 +24,18 @@ class Classification:
 
 def classify(
     log: DataFrame,
-    judge: c.BatchJudge,
+    judge: c.Judge | c.BatchJudge,
     now: Column,
     venue_ids: DataFrame | None = None,
     limit: int | None = None,
     force: bool = False,
     kept: DataFrame | None = None,
+    in_batches: bool = False,
 ) -> Classification:
     """Judge what has no verdict yet; forced, everything but what a user has judged.
 
     ``kept`` holds replies of a run that did not get to its end; they are not asked for again.
+    ``judge`` takes single rows, or lists of them where it says ``in_batches``.
     """
     if venue_ids is not None:
         unknown = unknown_venues(venue_ids, venues(log.sparkSession)).take(1)
@@ -43,7 +45,7 @@ def classify(
     settled = p.overridden(log) if force else p.already_classified(log)
     asked = c.routed(c.to_classify(current, settled, limit, venue_ids))
     # written once: every reply is paid for
-    outcome = durable(c.outcomes(c.score(asked, judge, kept)))
+    outcome = durable(c.outcomes(c.score_batches(asked, judge if in_batches else c.one_by_one(judge), kept)))
     entries = durable(c.verdict_entries(outcome, now).withColumn("position", F.monotonically_increasing_id()))
     last = log.agg(F.max("seq")).first()[0]
     numbered = entries.withColumn("seq", F.col("position") + (0 if last is None else last + 1)).drop("position")

@@ -8,12 +8,13 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from listinglake.catalog import quality as queries
 from listinglake.model import LISTING_SCHEMA
 from listinglake.operators import relisting
-from listinglake.operators.quality import gate
+from listinglake.operators.quality import contamination, gate
 from listinglake.operators.quality.batch import Batch, Check, gig_print
 from listinglake.operators.quality.contamination import contaminated
-from tests.conftest import rows
+from tests.conftest import SMALL, rows
 
 DAY = dt.date(2026, 9, 1)
 
@@ -99,6 +100,16 @@ def test_contamination_names_the_whole_venue(spark):
     assert found(spark, 8, listing[:2]) == set()
 
 
+def test_counters_grow_with_the_longest_text(spark):
+    sizes = spark.createDataFrame([(1,), (4096,), (4097,), (130_000,)], "n int")
+    assert [r[0] for r in sizes.select(contamination.counters_for(F.col("n"), 4096)).collect()] == [4096, 4096, 8192, 131_072]
+
+
+def test_failing_venues_are_those_of_the_claims(spark):
+    batch = queries.batch_of(spark, SMALL)
+    assert rows(gate.failing(batch)) == rows(gate.failed_venues(gate.claims_of(batch)))
+
+
 def plain_contaminated(listing):
     """Contaminated gigs by the rules as they read, venue by venue."""
     out = set()

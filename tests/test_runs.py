@@ -54,10 +54,28 @@ def test_one_failure_loses_no_other_row(spark):
     gigs = spark.createDataFrame([("v", k, "t", "p", text) for k, text in (("a", "y" * 80), ("b", "y" * 79), ("c", ""))], "venue_id string, url string, title string, poster_url string, description string")
     routed = c.routed(gigs)
     assert rows(routed, "url", "use_vision", "llm_model") == [("a", False, TEXT_MODEL), ("b", True, VISION_MODEL), ("c", True, VISION_MODEL)]
-    outcome = c.outcomes(c.score(routed, c.one_by_one(judge)))
+    outcome = c.outcomes(c.score(routed, judge))
     assert rows(outcome, "url", "genre", "input_tokens", "error") == [("a", "Metal", 10, None), ("b", None, None, "poster too large"), ("c", None, None, 'Unexpected reply: "no idea"')]
 
 
+def test_batches_and_kept_replies(spark):
+    """A batch that fails, or answers another number of rows, fails for all its rows; kept replies are not asked for again."""
+    gigs = spark.createDataFrame([("v", k, f"t{k}", "p", "y" * 90) for k in "abc"], "venue_id string, url string, title string, poster_url string, description string")
+    routed = c.routed(gigs)
+
+    def raising(asked):
+        raise RuntimeError("model is down")
+
+    assert {r.error for r in c.score_batches(routed, raising).collect()} == {"model is down"}
+    assert {r.error for r in c.score_batches(routed, lambda asked: []).collect()} <= {"0 answers to 1 rows", "0 answers to 2 rows", "0 answers to 3 rows"}
+    kept = c.score(routed.where("url <> 'c'"), lambda row: ("Metal", 1, 1))
+    kept = kept.withColumn("reply", F.when(F.col("url") == "a", F.col("reply"))).unionByName(kept.where("url = 'a'"))
+    again = c.score_batches(routed, lambda asked: [("Other", 2, 2)] * len(asked), kept)
+    assert rows(again, "url", "reply", "input_tokens") == [("a", "Metal", 1), ("b", "Other", 2), ("c", "Other", 2)]
+    assert rows(posters.too_large(spark.createDataFrame([("a", "x" * 7_000_000), ("b", "x" * 7_000_001), (None, None)], "image_url string, content string"))) == [
+        ("b", 7_000_001, "Image at b is 7000001 bytes, too large to send (limit ~7000000)")]
+
+
 COSTED = "seq int, llm_model string, use_vision boolean, input_tokens int, output_tokens int, recorded_at timestamp_ntz"
 
 

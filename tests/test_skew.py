@@ -80,3 +80,10 @@ def test_pages_end_at_an_empty_page_alone(spark):
     used = listings.pages_in_use(table)
     assert rows(used, "venue_id", "page_no") == sorted([("a", i) for i in range(15)] + [("b", 0), ("c", 0), ("c", 2), ("d", 1)], key=str)
     assert rows(listings.missing_pages(used)) == [("c", 1, "Page 1 is missing"), ("d", 0, "Page 0 is missing")]
+
+
+def test_rows_with_maps_can_be_salted(spark):
+    table = spark.createDataFrame([("a", {"x": 1}), ("a", {"x": 2}), ("b", {})], "k string, m map<string, int>")
+    names = spark.createDataFrame([("a", "A")], "k string, name string")
+    found = salted_join(table, names, ["k"])
+    assert sorted((r.k, sorted(r.m.items()), r.name) for r in found.collect()) == [("a", [("x", 1)], "A"), ("a", [("x", 2)], "A"), ("b", [], None)]
