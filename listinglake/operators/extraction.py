@@ -237,7 +237,7 @@ def page_copy(event_pages: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def with_errors(rows: DataFrame) -> DataFrame:
-    """Say what is wrong with each row; the first reason wins."""
+    """Say what is wrong with each row; the first reason wins. The failures' words are fixed values."""
     prefixes = F.array_join("under", " or ")
     after_gap = F.col("after_gap") if "after_gap" in rows.columns else F.lit(False)
     return rows.withColumn(

@@ -107,6 +107,7 @@ def continued_pages(guide: DataFrame) -> DataFrame:
 
 def failed_fetches(pages: DataFrame) -> DataFrame:
     """Venues with a page that did not open, and the first such url."""
+    # fixed value: the failure's words
     closed = pages.where(~F.col("status").between(200, 299))
     return closed.groupBy("venue_id").agg(
         F.count(F.lit(1)).alias("failed_pages"), F.min(F.struct("page_no", "url", "status")).alias("first")

@@ -109,6 +109,7 @@ def contamination(batch: Batch) -> DataFrame:
     listing = batch.listing.select("venue_id", "listing_pos", "description", gig_print().alias("gig"))
     marked = durable(contaminated(listing).groupBy("venue_id").agg(F.count(F.lit(1)).alias("affected")))
     sizes = batch.facts.groupBy("venue_id").agg(F.count(F.lit(1)).alias("n"))
+    # fixed value: the report's words
     detail = F.concat(
         F.col("affected").cast("string"), F.lit(" of "), F.col("n").cast("string"), F.lit(" gig(s) mostly shared text")
     )

@@ -14,7 +14,7 @@ from listinglake.operators.quality.batch import CLAIM, Batch
 from listinglake.session import durable
 from listinglake.skew import attach
 
-# The most rows a venue may show on one day, and under one picture.
+# The words of all reports below; the most rows a venue may show on one day, and under one picture.
 MAX_ON_A_DAY, MAX_SHARING_A_POSTER = 5, 20
 
 

@@ -13,16 +13,14 @@ MAX_TITLE, MAX_DESCRIPTION = 200, 10_000
 # What a page says in place of its content, matched ignoring case.
 BOILERPLATE = r"(?i)we use cookies|allow the use of cookies|enable j(ava)?s(cript)?\b"
 # Marks of text that was copied without being parsed, tags matched ignoring case.
-HTML_TAG = (
-    r"(?i)</?(?:a|p|br|div|span|img|li|ul|ol|em|strong|b|i|h[1-6]|iframe|script|table|tr|td"
-    r"|figure|blockquote)\b[^<>]*>"
-)
+HTML_TAG = r"(?i)</?(?:a|p|br|div|span|img|li|ul|ol|em|strong|b|i|h[1-6]|iframe|script|table|tr|td|figure|blockquote)\b[^<>]*>"
 HTML_ENTITY = r"&(?:[a-zA-Z][a-zA-Z0-9]{1,31}|#\d{1,7}|#[xX][0-9a-fA-F]{1,6});"
 MOJIBAKE = r"[\x{c3}\x{c2}][\x{80}-\x{bf}]|\x{e2}\x{20ac}."
 
 
 def misshapen_reason() -> Column:
     """The first rule a row breaks, as the text it is reported under; null when it breaks none."""
+    # the report's words below are fixed values
     description = F.col("description")
     chars = lambda what, n: F.concat(F.lit(f"{what} of "), n.cast("string"), F.lit(" chars"))
     return (
@@ -37,6 +35,7 @@ def misshapen_reason() -> Column:
 
 
 def marker_in(text: Column) -> Column:
+    # the marks' names are fixed values
     return (
         F.when(text.rlike(HTML_TAG), F.lit("unparsed markup"))
         .when(text.rlike(HTML_ENTITY), F.lit("an html entity"))
