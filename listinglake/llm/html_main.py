@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listinglake.llm.common import numbered, stored
+from listinglake.llm.common import attach, numbered, stored
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>", re.S
@@ -187,7 +187,7 @@ def shared_lines(page: tuple, before: tuple | None, after: tuple | None) -> list
     return common_lines(page[2], nearest[2])
 
 
-# Neighbouring pages that are aligned in one group.
+# Neighbouring runs of pages that are aligned in one group.
 BLOCK_PAGES = 1000
 
 
@@ -229,22 +229,35 @@ def _parsed(pages: DataFrame, id_col: str, url: str, page: str, prints: bool) ->
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, shared) of the pages of each block, which come in order; edges of other blocks only help."""
+    """What each run shares with the runs around it, for the runs of each block, which come in order; edges of other blocks only help.
+
+    Rows (block, run, size, key, host, path, last, prints, edge) in, (run, size, key, before, after,
+    shared_before, shared_after) out: the paths of the pages around the run, and the positions of the lines
+    it has in common with each, null without one. A run of one page is only compared with the nearer one.
+    """
     held: list[tuple] = []
 
     def settle(before, page, after):
-        if page is not None and not page[5]:
-            view = lambda x: None if x is None or x[0] != page[0] else x[2:5]
-            return page[1], shared_lines(view(page), view(before), view(after))
-        return None
+        if page is None or page[8]:
+            return None
+        before, after = (n if n is not None and n[0] == page[0] and n[4] == page[4] else None for n in (before, after))
+        if page[2] == 1 and before is not None and after is not None:
+            if nearness(page[5], before[6]) >= nearness(page[5], after[5]):
+                after = None
+            else:
+                before = None
+        paths = before and before[6], after and after[5]
+        return *page[1:4], *paths, *(n and common_lines(page[7], n[7]) for n in (before, after))
 
     def batch_of(found):
         found = [f for f in found if f is not None]
-        return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.list_(pa.int32()))], ["key", "shared"])
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+        names = ["run", "size", "key", "before", "after", "shared_before", "shared_after"]
+        return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)], names)
 
     for batch in batches:
         found = []
-        for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
+        for row in zip(*(batch.column(i).to_pylist() for i in range(9))):
             held.append(row)
             if len(held) == 3:
                 found.append(settle(*held))
@@ -256,24 +269,58 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of([settle(held[-2] if len(held) > 1 else None, held[-1], None)])
 
 
+def _nearer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, shared) of the pages (key, path, before, after, shared_before, shared_after) of longer runs."""
+    for batch in batches:
+        keys, found = [], []
+        for key, path, before, after, *shared in zip(*(c.to_pylist() for c in batch.columns)):
+            first = after is None or before is not None and nearness(path, before) >= nearness(path, after)
+            keys.append(key)
+            found.append(shared[0 if first else 1] or [])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int32()))], ["key", "shared"])
+
+
 def differences(pages: DataFrame, id_col: str, url: str, page: str) -> DataFrame:
-    """(key, shared): the positions of the lines every page shares with the nearest page of its host.
+    """(key, shared): the positions of the lines every page shares with the nearest page of its host that isn't a copy.
 
-    Prints of lines travel, not the lines. Pages are numbered along (host, path) by a range sort and
-    aligned in blocks of consecutive numbers; the pages at a block's ends go to the next block too.
+    Prints of lines travel, not the lines. Pages are numbered along (host, path) by a range sort. Neighbours
+    of one host with equal prints are a run, however long; one row per run is aligned, in blocks of
+    consecutive runs, and the runs at a block's ends go to the next block too. Each page of a run then takes
+    what the run shares with the page before it or after it, by its own path.
     """
     read = stored(_parsed(pages, id_col, url, page, prints=True))
     bare = F.regexp_replace(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://|[?#].*$", "")
     host = F.lower(F.regexp_extract(bare, r"^[^/]*", 0))
     path = F.regexp_replace(F.regexp_replace(bare, r"^[^/]*", ""), r"/$|\.html?$", "")
     ordered = read.select("key", host.alias("host"), path.alias("path"), "prints").orderBy("host", "path", "key")
-    block = F.floor(F.col("place") / BLOCK_PAGES)
-    at = F.col("place") % BLOCK_PAGES
+    placed = numbered(ordered, "place")
+    total = read.count()
+
+    print_of = placed.select("place", F.xxhash64("host", "prints").alias("print"))
+    next_to = print_of.select((F.col("place") + 1).alias("place"), F.col("print").alias("was"))
+    heads = print_of.join(next_to, "place", "left").where("was is null or was <> print").select(F.col("place").alias("start"))
+    runs = numbered(heads.orderBy("start"), "run")
+    until = runs.select((F.col("run") - 1).alias("run"), F.col("start").alias("until"))
+    runs = stored(runs.join(until, "run", "left").select("run", "start", (F.coalesce("until", F.lit(total)) - F.col("start")).alias("size")))
+    longer = runs.where("size > 1")
+    ends = longer.select("run", (F.col("start") + F.col("size") - 1).alias("place")).join(placed, "place").select("run", F.col("path").alias("last"))
+    whole = runs.join(placed, F.col("start") == F.col("place")).join(ends, "run", "left")
+
+    block = F.floor(F.col("run") / BLOCK_PAGES)
+    at = F.col("run") % BLOCK_PAGES
     blocks = F.when(at == 0, F.array(block, block - 1)).when(at == BLOCK_PAGES - 1, F.array(block, block + 1)).otherwise(F.array(block))
-    dealt = numbered(ordered, "place").withColumn("block", F.explode(blocks)).select(
-        "block", "key", "host", "path", "prints", (F.col("block") != block).alias("edge"), "place"
+    dealt = whole.withColumn("block", F.explode(blocks)).select(
+        "block", "run", "size", "key", "host", "path", F.coalesce("last", "path").alias("last"), "prints", (F.col("block") != block).alias("edge")
     )
-    return dealt.repartition("block").sortWithinPartitions("block", "place").mapInArrow(_aligned, "key binary, shared array<int>")
+    out = "run long, size long, key binary, before string, after string, shared_before array<int>, shared_after array<int>"
+    aligned = stored(dealt.repartition("block").sortWithinPartitions("block", "run").mapInArrow(_aligned, out))
+
+    single = aligned.where("size = 1").select("key", F.coalesce("shared_before", "shared_after", F.array().cast("array<int>")).alias("shared"))
+    places = longer.select("run", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("place"))
+    members = stored(places.join(placed, "place").select("run", "key", "path"))
+    copied = attach(members, aligned.where("size > 1").drop("key"), "run", "size", total)
+    each = copied.select("key", "path", "before", "after", "shared_before", "shared_after").mapInArrow(_nearer, "key binary, shared array<int>")
+    return single.unionByName(each)
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
@@ -281,8 +328,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url: str = "url", page:
 
     A page with an article keeps the article's lines; one without keeps the lines that structure
     doesn't leave out and the nearest page of its host doesn't share. A null page has no text, a
-    null url belongs to a host without a name; repeated rows repeat and copies of a page tell it
-    nothing; other columns are ignored; an empty table gives an empty result.
+    null url belongs to a host without a name; repeated rows repeat; copies of a page tell it nothing,
+    so the nearest one that differs is looked for beyond them; other columns are ignored; an empty table gives an empty result.
     """
     # equal rows have equal lines, whose neighbours may differ: the row with most in common decides
     found = F.max(F.struct(F.size("shared").alias("n"), "shared"))["shared"]

@@ -65,3 +65,21 @@ def test_pages_without_article(spark):
     want = [(1, "x é"), (2, "y"), (2, "y"), (None, ""), (4, "alone"), (5, " ".join(map(str, range(1, 20_000, 2)))), (6, "")]
     assert got == sorted(want, key=str)
     assert main_text(pages.limit(0)).count() == 0
+
+
+def test_run_of_copies_meets_pages_beyond(spark):
+    def page(*lines):
+        return "<body>" + "".join(f"<div>{x}</div>" for x in lines) + "</body>"
+
+    copies = [(i, f"http://h/b/{i}", page("top", "menu", "same", "z", "end")) for i in range(2, 7)]
+    rows = [(1, "http://h/a/1", page("top", "menu", "x", "end")), *copies, (7, "http://h/b/61", page("top", "menu", "z", "w")), (8, "http://other/b/3", page("top", "same", "menu")), *[(i, f"http://twins/{i}", page("top", "v")) for i in (9, 10, 11)]]
+    got = {r.page_id: (r.text, r.n_shared) for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    want = {1: ("x", 3), **{i: ("same end", 3) for i in range(2, 7)}, 7: ("w", 3), 8: ("top same menu", 0), **{i: ("top v", 0) for i in (9, 10, 11)}}
+    assert got == want
+
+
+def test_long_run_crosses_blocks(spark, monkeypatch):
+    monkeypatch.setattr("listinglake.llm.html_main.BLOCK_PAGES", 2)
+    rows = [(i, f"http://h/{i:03}", f"<p>top<p>{i if i % 40 == 0 else 'same'}") for i in range(100)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: str(i) if i % 40 == 0 else "same" for i in range(100)}
