@@ -68,14 +68,18 @@ def _features(texts) -> np.ndarray:
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> Logistic:
-    """The document model, fitted on at most ``most`` labelled documents."""
+    """The document model, fitted on at most ``most`` labelled documents; of rows that share an id, on the
+    one whose text has the smallest hash, so that the order of rows doesn't matter."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = pa.array(list(_features(batch.column(0).to_pylist())), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([rows, batch.column(1)], ["x", "y"])
-
-    sample = labelled(docs.select("doc_id", "text"), labels, "quality", most).select("text", "_label")
-    rows = sample.mapInArrow(run, "x array<double>, y int").limit(2 * most).collect()
+            rows = pa.array(list(_features(batch.column(2).to_pylist())), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], rows, batch.column(3)], ["doc_id", "hash", "x", "y"])
+
+    sample = labelled(docs.select("doc_id", "text"), labels, "quality", most)
+    sample = sample.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), "text", "_label")
+    schema = sample.select("doc_id", "hash", F.lit(None).cast("array<double>").alias("x"), F.lit(0).alias("y")).schema
+    one = sample.mapInArrow(run, schema).groupBy("doc_id").agg(F.min(F.struct("hash", "x", "y")).alias("row"))
+    rows = sorted((r.row for r in one.collect()), key=lambda r: (r.hash, r.x, r.y))
     x = np.array([r.x for r in rows], dtype=float).reshape(-1, FEATURES)
     return Logistic(x, np.array([r.y for r in rows], dtype=float))
 
