@@ -121,3 +121,51 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from listinglake.llm.html_main import main_text
 
     return main_text(table(spark, sf_dir, "pages"))
+
+
+def _share_sql(count: str, total: str) -> str:
+    return f"(1 + (1000000000::HUGEINT * ({count} + 2)) // ({total} + 2 * v))"
+
+
+def _distance_sql(p: str, q: str) -> str:
+    return f"(({p} - {q}) * ({p} - {q})) // ({p} + {q})"
+
+
+@query("op13_divergence", f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all({AZ}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS words
+  FROM documents
+),
+g AS (SELECT DISTINCT lang, source FROM d),
+t AS (SELECT r, lang, source, unnest(words) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS lang_n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+l AS (SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY lang, source, term),
+s AS (
+  SELECT g.lang, g.source, coalesce(sum(n), 0) AS total, coalesce(any_value(v), 0) AS v, coalesce(any_value(lang_total), 0) AS lang_total
+  FROM g LEFT JOIN l USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY g.lang, g.source
+),
+p AS (
+  SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n, {_share_sql('coalesce(c.n, 0)', 'total')} AS p, {_share_sql('lang_n', 'lang_total')} AS q
+  FROM s JOIN k USING (lang) LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term
+),
+pairs AS (
+  SELECT x.lang, x.source, y.source AS item, sum({_distance_sql('x.p', 'y.p')}) AS value
+  FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY x.lang, x.source, y.source
+),
+ranked AS (
+  SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0) AS value
+  FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source
+  LEFT JOIN pairs ON pairs.lang = x.lang AND pairs.source = x.source AND pairs.item = y.source
+  UNION ALL
+  SELECT lang, source, 'term', term, {_distance_sql('p', 'q')} FROM p WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value::BIGINT AS value,
+  (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+FROM ranked QUALIFY part = 'pair' OR rank <= 10
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from listinglake.llm.divergence import divergence
+
+    return divergence(table(spark, sf_dir, "documents"))
