@@ -169,3 +169,11 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from listinglake.llm.divergence import divergence
 
     return divergence(table(spark, sf_dir, "documents"))
+
+
+@query("op12_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from listinglake.llm.alignment import alignment
+
+    found, _ = alignment(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), token_pattern(), tokenizer_file("piece_bpe_32k.model"))
+    return found.withColumnRenamed("id", "doc_id")
