@@ -177,3 +177,14 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found, _ = alignment(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), token_pattern(), tokenizer_file("piece_bpe_32k.model"))
     return found.withColumnRenamed("id", "doc_id")
+
+
+@query("op11_minhash")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from listinglake.llm.minhash import documents, written
+
+    found = documents(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), written("fp").alias("fingerprint"),
+        written("edited_fp").alias("edited_fingerprint"), "near_edited", "near_next", "class_id", "class_rows",
+    )
