@@ -69,6 +69,27 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int)
     return left.join(right, [key, "_salt"], "left").drop("_salt", "_heavy")
 
 
+def meet(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """Inner-join ``rows`` to stored ``groups`` like ``attach``; the salt is a hash of the row, so it survives a task that runs again."""
+    is_heavy = F.col(size) * HEAVY >= F.lit(total)
+    heavy = groups.where(is_heavy).select(F.col(key), F.lit(True).alias("_heavy"))
+    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")
+    left = rows.join(F.broadcast(heavy), key, "left").withColumn("_salt", F.when(F.col("_heavy"), salt).otherwise(0))
+    salts = F.when(is_heavy, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return left.join(groups.withColumn("_salt", F.explode(salts)), [key, "_salt"]).drop("_salt", "_heavy")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``stored``, and Spark drops the shuffle files of that write as soon as it has ended."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = conf.get(name)
+    conf.set(name, "true")
+    try:
+        return stored(df)
+    finally:
+        conf.set(name, was)
+
+
 def numbered(ordered: DataFrame, name: str) -> DataFrame:
     """A number from 0 for every row of a range-sorted ``ordered``, without a sort in one task.
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from listinglake.llm.common import components, stored
+from listinglake.llm.common import HEAVY, SALTS, components, meet, settled, stored
 from listinglake.skew import attach
 
 WORDS_EACH = 5
@@ -198,7 +198,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     packed = picked.mapInArrow(_pack, "id long, tie long, packed binary").withColumn("nth", F.monotonically_increasing_id())
     order = [F.col("id").desc_nulls_last(), F.col("tie"), F.col("nth")]
     dealt = packed.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "packed")
-    rows = stored(dealt.mapInArrow(_in_order, PRINTED))
+    rows = settled(dealt.mapInArrow(_in_order, PRINTED))
     first = rows.where(F.col("kind") == FIRST).select(F.col("part").alias("after"), F.col("packed").alias("following"))
     # one row per partition
     parts = first.select(F.col("after").alias("part"))
@@ -222,11 +222,31 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return common / both if both else 1.0
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hub, node, mine, theirs) in, (hub, node, similarity) out."""
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hub, node, hashes) sorted by hub, its own row first; (hub, node, similarity) of the others out."""
+    now, own = None, None
     for batch in batches:
-        found = [jaccard(*(np.frombuffer(x.as_py(), "<u8") for x in pair)) for pair in zip(batch.column(2), batch.column(3))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], ["hub", "node", "similarity"])
+        found = []
+        for hub, node, hashes in zip(*batch.columns):
+            hub, node, values = hub.as_py(), node.as_py(), np.frombuffer(hashes.as_py(), "<u8")
+            if hub == node:
+                now, own = hub, values
+            elif hub == now:
+                found.append((hub, node, jaccard(own, values)))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["hub", "node", "similarity"])
+
+
+def _with_hubs(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(hub, node, similarity) for every node that shares a key with its hub; a hub of many is repeated over salts."""
+    edges = stored(members.select("hub", "node").distinct())
+    total = edges.count()
+    heavy = stored(edges.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * HEAVY >= F.lit(total)).select("hub", F.lit(True).alias("_heavy")))
+    every = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    salts = F.when(F.col("_heavy").isNull(), F.array(F.lit(0))).when(F.col("hub") == F.col("node"), every)
+    dealt = edges.join(F.broadcast(heavy), "hub", "left").withColumn("salt", F.explode(salts.otherwise(F.array(F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")))))
+    dealt = dealt.join(sets.select("node", "hashes"), "node").repartition("hub", "salt")
+    dealt = dealt.sortWithinPartitions("hub", "salt", F.col("hub") != F.col("node"), "node").select("hub", "node", "hashes")
+    return settled(dealt.mapInArrow(_met, "hub long, node long, similarity double"))
 
 
 def block_links(nodes: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], similar: float) -> list[tuple[int, int]]:
@@ -264,19 +284,16 @@ def similar_texts(nodes: DataFrame, sets_of, similar: float = SIMILAR, block: in
     ``sets_of`` gives (node, size, hashes) of the nodes it is handed, one row each.
     """
     filed = nodes.select("node", F.posexplode("fp").alias("_band", "_key")).select(F.xxhash64("_band", "_key").alias("key"), "node")
-    shared = stored(filed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).where("n > 1"))
-    members = stored(attach(filed, shared, ["key"], "inner"))
+    total = nodes.count() * BANDS
+    shared = settled(filed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).where("n > 1"))
+    members = settled(meet(filed, shared, "key", "n", total))
     # keys with the same texts say the same
     seen = members.groupBy("key").agg(F.bit_xor(F.xxhash64("node")).alias("_x"), F.sum(F.hash("node")).alias("_y"), F.first("n").alias("n"), F.first("hub").alias("hub"))
-    once = stored(seen.groupBy("hub", "n", "_x", "_y").agg(F.min("key").alias("key")).select("key"))
-    members = stored(attach(members, once, ["key"], "inner"))
-    sets = stored(sets_of(stored(members.select("node").distinct())))
-
-    edges = stored(members.where("node <> hub").select("hub", "node").distinct())
-    mine = edges.join(sets.select("node", F.col("hashes").alias("mine")), "node")
-    hubs = stored(edges.select(F.col("hub").alias("node")).distinct().join(sets, "node").select(F.col("node").alias("hub"), F.col("hashes").alias("theirs")))
-    met = attach(mine, hubs, ["hub"], "inner").select("hub", "node", "mine", "theirs")
-    met = stored(met.mapInArrow(_compared, "hub long, node long, similarity double"))
+    once = settled(seen.groupBy("hub", "n", "_x", "_y").agg(F.min("key").alias("key")).select("key", "n"))
+    members = settled(meet(members.drop("n"), once, "key", "n", total))
+    sets = settled(sets_of(settled(members.select("node").distinct())))
+
+    met = _with_hubs(members, sets)
     links = stored(met.where(F.col("similarity") + SLACK >= similar).select(F.col("hub").alias("a"), F.col("node").alias("b")))
     labels = components(links)
 
@@ -284,13 +301,12 @@ def similar_texts(nodes: DataFrame, sets_of, similar: float = SIMILAR, block: in
     beyond = members.where("node <> hub and n > 2").join(met, ["hub", "node"])
     beyond = beyond.withColumn("open", F.col("similarity") + SLACK < similar).withColumn("reaches", F.col("open") & (F.col("similarity") + SLACK >= 2 * similar - 1))
     beyond = beyond.join(sets.select("node", "size"), "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    beyond = stored(beyond.select("key", "node", "size", "label", "open", "reaches"))
-    asks = beyond.groupBy("key").agg(F.bool_or("reaches").alias("all"), F.bool_or("open").alias("any"))
-    asks = stored(asks.where("any").select("key", "all"))
-    left = stored(attach(beyond, asks, ["key"], "inner").where("open or all"))
-    blocks = left.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.sum("size").alias("_total"))
-    blocks = stored(blocks.where("_low <> _high").select("key", F.ceil(F.col("_total") / block).cast("int").alias("blocks")))
-    dealt = attach(left, blocks, ["key"], "inner").select("key", "node", "label", F.pmod(F.xxhash64("node"), F.greatest("blocks", F.lit(1))).cast("int").alias("_own"), F.greatest("blocks", F.lit(1)).alias("blocks"))
+    beyond = settled(beyond.select("key", "n", "node", "size", "label", "open", "reaches"))
+    asks = beyond.groupBy("key").agg(F.bool_or("reaches").alias("all"), F.bool_or("open").alias("any"), F.first("n").alias("n"))
+    left = settled(meet(beyond.drop("n"), settled(asks.where("any").drop("any")), "key", "n", total).where("open or all"))
+    blocks = left.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.sum("size").alias("_total"), F.first("n").alias("n"))
+    blocks = settled(blocks.where("_low <> _high").select("key", "n", F.ceil(F.greatest(F.col("_total"), F.lit(1)) / block).cast("int").alias("blocks")))
+    dealt = meet(left.select("key", "node", "label"), blocks, "key", "n", total).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("_own", "_with").alias("low"), F.greatest("_own", "_with").alias("high"), "node", "label").join(sets.select("node", "hashes"), "node")
 
@@ -299,7 +315,7 @@ def similar_texts(nodes: DataFrame, sets_of, similar: float = SIMILAR, block: in
         return pa.table([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], ["a", "b"])
 
     more = dealt.groupBy("key", "low", "high").applyInArrow(links_of, "a long, b long")
-    return components(stored(links.unionByName(more)))
+    return components(settled(links.unionByName(more)))
 
 
 def documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar: float = SIMILAR, block: int = BLOCK) -> DataFrame:
@@ -312,7 +328,7 @@ def documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", simil
     """
     rows = fingerprints(docs, id_col, text)
     by_text = rows.groupBy("print").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("_rows"), F.any_value("fp").alias("fp"))
-    nodes = stored(by_text.withColumn("node", F.monotonically_increasing_id()))
+    nodes = settled(by_text.withColumn("node", F.monotonically_increasing_id()))
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         some = F.lit(-(1 << 63))
