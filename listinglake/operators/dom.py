@@ -7,8 +7,6 @@ come from a table of rules, one row per venue.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,10 +49,10 @@ def _is_scope(node: Column, s: Column) -> Column:
     )
 
 
-def matches(node: Column, s: Column, nodes: Column, up: Column) -> Column:
-    """Whether a node matches; ``up`` is what its ancestors' numbers are looked up with in ``nodes``."""
+def _own(node: Column, s: Column) -> Column:
+    """What a selector wants of the node itself."""
     value = F.try_element_at(node["attrs"], s["attr"])
-    own = (
+    return (
         (node["tag"] != TEXT)
         & _absent_or(s["tag"], node["tag"] == s["tag"])
         & _absent_or(s["classes"], F.size(F.array_except(s["classes"], node["classes"])) == 0)
@@ -64,11 +62,18 @@ def matches(node: Column, s: Column, nodes: Column, up: Column) -> Column:
         & _absent_or(s["part"], F.contains(value, s["part"]))
         & (s["without"].isNull() | ~F.coalesce(F.array_contains(node["classes"], s["without"]), F.lit(False)))
     )
-    scoped = s["in_tag"].isNotNull() | s["in_class"].isNotNull() | s["in_id"].isNotNull()
-    # a run of nodes holds an ancestor by its number; where some were taken out, it has to be looked for
-    by_place = F.exists(node["up"], lambda i: F.coalesce(_is_scope(F.get(nodes, i - up), s), F.lit(False)))
-    by_search = F.exists(nodes, lambda a: (a["node_id"] < node["node_id"]) & (node["node_id"] <= a["end_id"]) & _is_scope(a, s))
-    return own & (~scoped | F.when(up.isNotNull(), by_place).otherwise(by_search))
+
+
+def _spans(nodes: Column, s: Column) -> Column:
+    """The numbers between which nodes lie inside an ancestor the selector wants; null if it wants none."""
+    wanted = s["in_tag"].isNotNull() | s["in_class"].isNotNull() | s["in_id"].isNotNull()
+    spans = F.transform(F.filter(nodes, lambda a: _is_scope(a, s)), lambda a: F.struct(a["node_id"].alias("above"), a["end_id"].alias("last")))
+    return F.when(wanted, spans)
+
+
+def _matches(node: Column, s: Column, spans: Column) -> Column:
+    inside = F.exists(spans, lambda a: (a["above"] < node["node_id"]) & (node["node_id"] <= a["last"]))
+    return _own(node, s) & (spans.isNull() | inside)
 
 
 def _start(part: Column) -> Column:
@@ -79,20 +84,27 @@ def _start(part: Column) -> Column:
 
 def select(part: Column, s: Column, nodes: Column | None = None) -> Column:
     """Nodes of ``part`` that match, in document order; ancestors are looked for in ``nodes``."""
-    return _matching(part, nodes, lambda n, whole, up: matches(n, s, whole, up))
+    found = lambda p, whole: once(_spans(whole, s), lambda spans: F.filter(p, lambda n: _matches(n, s, spans)))
+    return found(part, nodes) if nodes is not None else once(part, lambda p: found(p, p))
 
 
-def select_any(part: Column, selectors: Column, nodes: Column | None = None) -> Column:
-    """Nodes of ``part`` that match any of an array of selectors; nothing when the array is null."""
-    found = lambda n, whole, up: F.coalesce(F.exists(selectors, lambda s: matches(n, s, whole, up)), F.lit(False))
-    return _matching(part, nodes, found)
+def scoped(selectors: Column, nodes: Column) -> Column:
+    """An array of selectors with the places of the ancestors they want, for ``select_scoped``.
+
+    Depends on the whole page only, so it is worked out once for all parts that are selected from.
+    """
+    return F.transform(selectors, lambda s: F.struct(s.alias("s"), _spans(nodes, s).alias("spans")))
+
 
+def select_scoped(part: Column, found_in: Column) -> Column:
+    """Nodes of ``part`` that match any selector of ``scoped``; nothing when that is null."""
+    return F.filter(part, lambda n: F.coalesce(F.exists(found_in, lambda x: _matches(n, x["s"], x["spans"])), F.lit(False)))
 
-def _matching(part: Column, nodes: Column | None, test: Callable[[Column, Column, Column], Column]) -> Column:
-    """Nodes of ``part`` that pass; what ``nodes`` starts with is found out once, and the part is computed once."""
-    if nodes is None:
-        return once(part, lambda p: once(_start(p), lambda up: F.filter(p, lambda n: test(n, p, up))))
-    return once(_start(nodes), lambda up: F.filter(part, lambda n: test(n, nodes, up)))
+
+def select_any(part: Column, selectors: Column, nodes: Column | None = None) -> Column:
+    """Nodes of ``part`` that match any of an array of selectors; nothing when the array is null."""
+    found = lambda p, whole: once(scoped(selectors, whole), lambda x: select_scoped(p, x))
+    return found(part, nodes) if nodes is not None else once(part, lambda p: found(p, p))
 
 
 def first(part: Column) -> Column:

@@ -25,6 +25,7 @@ from listinglake.skew import attach
 from listinglake.sources import payloads
 from listinglake.sources.html import with_nodes
 
+CARD_PARTS = ["must_hold", "link", "link_fallback", "title", "date_at", "month", "day", "poster", "card_copy"]
 LISTING = ["venue_id", "listing_pos", "url", "title", "date", "poster_url", "description"]
 
 
@@ -50,25 +51,29 @@ def card_rows(pages: DataFrame, rules: DataFrame, keep: Sequence[str] = ()) -> D
     found = F.when(
         r("card_has").isNotNull(), dom.having(nodes, F.element_at("cards", 1), r("card_has"))
     ).otherwise(dom.select_any(nodes, r("cards")))
+    # what a rule's selectors want around a node is looked for once in a page, not once in a card
+    scopes = F.struct(*[dom.scoped(r(rule), nodes).alias(rule) for rule in CARD_PARTS])
+    dated = F.filter(nodes, lambda n: dom.attr(n, r("date_attr")).isNotNull())
+    parsed = parsed.withColumn("scopes", scopes).withColumn("dated", dated)
     kept = F.filter(
         found,
-        lambda c: r("must_hold").isNull() | (F.size(dom.select_any(dom.subtree(nodes, c), r("must_hold"), nodes)) > 0),
+        lambda c: r("must_hold").isNull() | (F.size(dom.select_scoped(dom.subtree(nodes, c), F.col("scopes.must_hold"))) > 0),
     )
     # each field's nodes, within the card: read while the page is at hand, so that no card carries a page along
     def fields_of(c: Column) -> Column:
         part = dom.subtree(nodes, c)
-        pick = lambda rule: dom.select_any(part, r(rule), nodes)
+        pick = lambda rule: dom.select_scoped(part, F.col(f"scopes.{rule}"))
         link = F.when(r("link_has").isNotNull(), dom.having(part, F.element_at("link", 1), r("link_has"))).otherwise(pick("link"))
-        above = F.filter(F.transform(c["up"], lambda i: dom.attr(F.get(nodes, i - 1), r("date_attr"))), lambda value: value.isNotNull())
+        above = F.filter(F.col("dated"), lambda n: (n["node_id"] < c["node_id"]) & (c["node_id"] <= n["end_id"]))
         return F.struct(
             link.alias("link_nodes"), pick("link_fallback").alias("fallback_nodes"), pick("title").alias("title_nodes"),
             pick("date_at").alias("date_nodes"), pick("month").alias("month_nodes"), pick("day").alias("day_nodes"),
             pick("poster").alias("poster_nodes"), pick("card_copy").alias("copy_nodes"), part.alias("part"),
-            F.try_element_at(above, F.lit(-1)).alias("block"),
+            dom.attr(F.try_element_at(above, F.lit(-1)), r("date_attr")).alias("block"),
         )
 
     # an outer explode keeps a page without cards as one row, which is what ends a walk
-    read_off = parsed.withColumn("found", F.transform(kept, fields_of)).drop("nodes")
+    read_off = parsed.withColumn("found", F.transform(kept, fields_of)).drop("nodes", "scopes", "dated")
     card = read_off.select("*", F.posexplode_outer("found").alias("item_no", "card")).drop("found")
     part = F.col("part")
     fields = card.select(

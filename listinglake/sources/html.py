@@ -1,22 +1,26 @@
 """Pages as arrays of nodes.
 
 A page's tree is built once, next to the page, and stays in the page's row: nodes are numbered in
-document order from 1 and carry their ancestors' numbers and that of their last descendant, so
-selecting, descending and reading text are array expressions over one row and need no shuffle (``operators.dom``).
+document order from 1 and carry the number of their last descendant, so what is inside what is told
+by two numbers; selecting, descending and reading text are array expressions over one row and need no
+shuffle (``operators.dom``). Building takes time and memory in proportion to the page, however its
+tags are nested or broken.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from listinglake.sources import tags
+
 NODE_SCHEMA = (
     "array<struct<node_id: int, end_id: int, depth: int, tag: string, classes: array<string>, "
-    "attrs: map<string, string>, text: string, up: array<int>>>"
+    "attrs: map<string, string>, text: string>>"
 )
 TEXT = "#text"
 
@@ -43,22 +47,25 @@ ENDS_SIBLING = {
     "th": ({"td", "th"}, {"tr", "table"}),
 }
 KEEPS_SPACE = frozenset({"pre", "textarea", "title"})
+# Elements whose content is no markup, and those of them that show it.
+UNSEEN, SHOWN = frozenset({"script", "style"}), frozenset({"textarea", "title"})
 _SPACES = re.compile("[ \t\n\f\r\xa0]+")
-_UNSEEN = re.compile("[​­]")
+_NO_WIDTH = re.compile("[​­]")
+
 
+class _Tree:
+    """The nodes so far, and which elements are open: in order, and by tag."""
 
-class _Tree(HTMLParser):
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
         self.nodes: list[dict] = []
         self.open: list[dict] = []
+        self.places: dict[str, list[int]] = {}
         self.gap = False
 
     def _add(self, tag: str, attrs: list, text: str | None) -> dict:
         node = {
             "node_id": len(self.nodes) + 1, "end_id": len(self.nodes) + 1, "depth": len(self.open), "tag": tag,
             "classes": next((v for k, v in attrs if k == "class" and v), "").split(), "attrs": attrs, "text": text,
-            "up": [n["node_id"] for n in self.open],
         }
         self.nodes.append(node)
         return node
@@ -67,46 +74,37 @@ class _Tree(HTMLParser):
         for node in self.open[index:]:
             node["end_id"] = len(self.nodes)
             self.gap |= node["tag"] in BLOCK
+            self.places[node["tag"]].pop()
         del self.open[index:]
 
-    def _close(self, tags: set[str], within: set[str]) -> None:
-        for index in range(len(self.open) - 1, -1, -1):
-            if self.open[index]["tag"] in tags:
-                return self._close_to(index)
-            if self.open[index]["tag"] in within:
-                return None
-        return None
+    def _innermost(self, names: set[str]) -> int:
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
+    def close(self, names: set[str], within: set[str] = frozenset()) -> None:
+        """Close the innermost open element of ``names``, unless one of ``within`` lies inside it."""
+        index = self._innermost(names)
+        if index >= 0 and index > self._innermost(within):
+            self._close_to(index)
+
+    def start(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in ENDS_SIBLING:
-            self._close(*ENDS_SIBLING[tag])
+            self.close(*ENDS_SIBLING[tag])
         if tag in ENDS_P:
-            self._close({"p"}, {"button", "td", "th", "table", "object"})
-        seen: dict[str, str] = {}
-        for key, value in attrs:
-            seen.setdefault(key, value or "")
-        node = self._add(tag, list(seen.items()), None)
+            self.close({"p"}, {"button", "td", "th", "table", "object"})
+        node = self._add(tag, [(k, v or "") for k, v in attrs], None)
         self.gap |= tag in BLOCK or tag == "br"
         if tag not in VOID:
+            self.places.setdefault(tag, []).append(len(self.open))
             self.open.append(node)
 
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
-
-    def handle_endtag(self, tag: str) -> None:
-        self._close({tag}, set())
-
-    def handle_data(self, data: str) -> None:
+    def text(self, data: str) -> None:
         parent = self.open[-1]["tag"] if self.open else ""
-        if parent in ("script", "style"):
-            return
-        text = data if parent in KEEPS_SPACE else _SPACES.sub(" ", _UNSEEN.sub("", data))
+        text = data if parent in KEEPS_SPACE else _SPACES.sub(" ", _NO_WIDTH.sub("", data))
         if text:
             self._add(TEXT, [], (" " if self.gap else "") + text)
             self.gap = False
 
     def finish(self) -> list[dict]:
-        self.close()
         self._close_to(0)
         return self.nodes
 
@@ -116,14 +114,20 @@ def nodes_of(html: str | None) -> list[dict] | None:
     if html is None:
         return None
     tree = _Tree()
-    tree.feed(html)
+    for kind, name, value in tags.tokens(html, UNSEEN | SHOWN):
+        if kind == tags.START:
+            tree.start(name, value)
+        elif kind == tags.END:
+            tree.close({name})
+        elif kind == tags.TEXT or kind == tags.RAW and name in SHOWN and value:
+            tree.text(unescape(value) if "&" in value else value)
     return tree.finish()
 
 
 _ARROW = pa.list_(
     pa.struct([
         ("node_id", pa.int32()), ("end_id", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()),
-        ("classes", pa.list_(pa.string())), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("up", pa.list_(pa.int32())),
+        ("classes", pa.list_(pa.string())), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()),
     ])
 )
 
