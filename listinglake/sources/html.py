@@ -115,7 +115,7 @@ def nodes_of(html: str | None) -> list[dict] | None:
         return None
     tree = _Tree()
     for kind, name, value in tags.tokens(html, UNSEEN | SHOWN):
-        if kind == tags.START:
+        if kind in (tags.START, tags.EMPTY):
             tree.start(name, value)
         elif kind == tags.END:
             tree.close({name})

@@ -2,7 +2,7 @@
 
 Tags, quotes and comments end where browsers end them. A tag that the page's end cuts off would
 swallow all that follows; from the first such tag on, tags end at their next ``>`` whatever is quoted,
-so that the text behind a forgotten quote stays. Where not even that comes, the rest is dropped.
+so that the text behind a forgotten quote stays. Where not even that comes, the rest is one cut token.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 from html import unescape
 
-TEXT, START, END, RAW, CDATA = range(5)
+TEXT, START, EMPTY, END, RAW, CDATA, CUT = range(7)
 
 _MARKUP = re.compile(r"<(?:(?P<start>[a-zA-Z][^ \t\n\f\r/>]*+)|/(?P<end>[a-zA-Z][^ \t\n\f\r/>]*+)|(?P<comment>!--)|(?P<cdata>!\[CDATA\[)|[!?/])")
 _ATTRIBUTE = re.compile(
@@ -40,7 +40,7 @@ def _attributes(html: str, at: int, until: int) -> tuple[list[tuple[str, str | N
 
 
 def tokens(html: str, raw: frozenset[str] = frozenset()) -> Iterator[tuple[int, str, str | list[tuple[str, str | None]]]]:
-    """(kind, name, value) in order: TEXT as written, START with its attributes, END, CDATA's content.
+    """(kind, name, value) in order: TEXT as written, START with its attributes (EMPTY if it ends in ``/>``), END, CDATA's content.
 
     The content of elements in ``raw`` comes as one RAW, up to their end tag or the page's end.
     """
@@ -68,13 +68,14 @@ def tokens(html: str, raw: frozenset[str] = frozenset()) -> Iterator[tuple[int,
             if stop >= end:
                 quoted, stop = False, html.find(">", at)
                 if stop < 0:
+                    yield CUT, "", html[mark.start():]
                     return
                 attributes, _ = _attributes(html, at, stop)
             at = stop + 1
             if mark["end"]:
                 yield END, name, []
                 continue
-            yield START, name, attributes
+            yield EMPTY if html[stop - 1] == "/" else START, name, attributes
             if name in raw:
                 if name not in closed:
                     closed[name] = re.compile(rf"</{re.escape(name)}(?=[ \t\n\f\r/>])", re.I)

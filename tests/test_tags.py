@@ -2,9 +2,8 @@ import resource
 import time
 
 import pytest
-from listinglake.sources import tags
 from listinglake.sources.html import nodes_of
-from listinglake.sources.tags import CDATA, END, RAW, START, TEXT, tokens
+from listinglake.sources.tags import CDATA, CUT, EMPTY, END, RAW, START, TEXT, tokens
 
 
 def shown(markup):
@@ -14,7 +13,7 @@ def shown(markup):
 def test_tags_attributes_and_references():
     got = list(tokens("""a<P Class='x y' class=z data-a=it's b = "q>r" hidden/>b &amp; c</P >"""))
     assert got == [
-        (TEXT, "", "a"), (START, "p", [("class", "x y"), ("data-a", "it's"), ("b", "q>r"), ("hidden", None)]), (TEXT, "", "b &amp; c"), (END, "p", [])
+        (TEXT, "", "a"), (EMPTY, "p", [("class", "x y"), ("data-a", "it's"), ("b", "q>r"), ("hidden", None)]), (TEXT, "", "b &amp; c"), (END, "p", [])
     ]
     assert list(tokens('<a href="?a=1&copy=2&amp;b&#65;&lt">')) == [(START, "a", [("href", "?a=1&copy=2&bA<")])]
 
@@ -29,6 +28,7 @@ def test_comments_declarations_raw_text():
 def test_text_behind_a_forgotten_quote_stays():
     assert shown('<p class="a>one</p><p>two</p>') == [" one", " two"]
     assert shown('one<a href="x') == ["one"]
+    assert list(tokens("x <a b='")) == [(TEXT, "", "x "), (CUT, "", "<a b='")]
     assert list(tokens("")) == [] and nodes_of("") == [] and nodes_of(None) is None
 
 
@@ -51,4 +51,3 @@ def test_nested_ends_are_right():
     nodes = nodes_of("<div>" * 3000 + "x" + "</div>" * 1000)
     assert [n["end_id"] for n in nodes] == [3001] * 3001
     assert [n["depth"] for n in nodes] == list(range(3001))
-    assert tags.TEXT == 0
