@@ -19,11 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from listinglake.llm.common import attach, numbered, stored
+from listinglake.sources import tags
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>", re.S
-)
-NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORD = re.compile(r"[a-z]+")
 
 # Elements by what they mean in HTML.
@@ -43,16 +40,52 @@ NOISE = frozenset(
     "sharing social related recommended pagination pager toolbar contentinfo complementary search masthead login signup disclaimer".split()
 )
 FORGIVEN = frozenset("html body article main".split())
+# Those of them that are clear inside an article too, where a section on related work or a notice is text.
+CLEAR = frozenset(
+    "ad ads advert adverts advertisement adsense sponsored comment comments cookie cookies consent gdpr nav navbar navigation breadcrumb breadcrumbs "
+    "sidebar newsletter subscribe pagination pager".split()
+)
+# In an article's own header, which is text: elements and words that tell who wrote it and when.
+BY = frozenset("address time".split())
+BYLINE = frozenset("byline author authors dateline meta published".split())
 
 OPEN, TEXT, OUT = 0, 1, 2  # undecided, of the article, left out
 
 
+def _role(name: str, attributes: list[tuple[str, str | None]], state: int, in_header: bool) -> int:
+    """What an element's content is, given what it stands in."""
+    if state == OUT:
+        return OUT
+    if name in LEFT_OUT or name == "header" and state == OPEN or in_header and name in BY:
+        return OUT
+    if name in MAIN:
+        state = TEXT
+    words = {k: set(WORD.findall((v or "").lower())) for k, v in attributes}
+    if name not in FORGIVEN:
+        for k in ("class", "id", "role"):
+            held = words.get(k, frozenset())
+            if held & (CLEAR if state == TEXT and k != "role" else NOISE) or in_header and held & BYLINE:
+                return OUT
+        if "main" in words.get("role", ()):
+            return TEXT
+    elif name == "article" and {"comment", "comments", "reply"} & {w for k, held in words.items() for w in (k, *held)}:
+        return OUT
+    return state
+
+
 def lines_of(page: str) -> list[tuple[str, int]]:
-    """The page's text lines, those left out excepted, each with OPEN or TEXT."""
+    """The page's text lines, those left out excepted, each with OPEN or TEXT.
+
+    A header of the page is left out. An article's own header is text, but for what says who wrote it
+    and when; words of classes and ids that could as well name a section count outside articles only.
+    A tag that the page's end cuts off is text.
+    """
     found: list[tuple[str, int]] = []
     parts: list[str] = []
-    stack: list[tuple[str, int]] = []
-    state, at, end = OPEN, 0, len(page)
+    stack: list[tuple[str, int, bool]] = []
+    places: dict[str, list[int]] = {}
+    blocks: list[int] = []
+    state, in_header = OPEN, False
 
     def close_line() -> None:
         if parts:
@@ -65,60 +98,40 @@ def lines_of(page: str) -> list[tuple[str, int]]:
         if state != OUT and piece:
             parts.append(html.unescape(piece) if "&" in piece else piece)
 
-    while at < end:
-        tag = TOKEN.search(page, at)
-        if tag is None:
-            keep(page[at:])
-            break
-        keep(page[at:tag.start()])
-        at = tag.end()
-        name = tag[2]
-        if name is None:
-            if tag[0].startswith("<![CDATA["):
-                keep(tag[0][9:].removesuffix("]]>").replace("&", "&amp;"))
+    def close_to(i: int) -> None:
+        nonlocal state, in_header
+        for name, _, _ in stack[i:]:
+            places[name].pop()
+            if name in BLOCK:
+                blocks.pop()
+        del stack[i:]
+        _, state, in_header = stack[-1] if stack else ("", OPEN, False)
+
+    for kind, name, value in tags.tokens(page, RAW):
+        if kind in (tags.TEXT, tags.CUT):
+            keep(value)
+        elif kind == tags.CDATA:
+            keep(value.replace("&", "&amp;"))
+        if kind not in (tags.START, tags.EMPTY, tags.END):
             continue
-        name = name.lower()
         if name == "br":
             keep(" ")
             continue
         if name in BLOCK:
             close_line()
-        if tag[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    state = stack[-1][1] if stack else OPEN
-                    break
+        if kind == tags.END:
+            if places.get(name):
+                close_to(places[name][-1])
             continue
-        if name in RAW:
-            closing = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = closing.end() if closing else end
+        if name in RAW or name in VOID or kind == tags.EMPTY and name not in BLOCK and name not in LEFT_OUT:
             continue
-        if name in VOID or tag[3].endswith("/") and name not in BLOCK and name not in LEFT_OUT:
-            continue
-        if name in CLOSE_P:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    del stack[i:]
-                    state = stack[-1][1] if stack else OPEN
-                    break
-                if stack[i][0] in BLOCK:
-                    break
-        if state != OUT:
-            if name in LEFT_OUT or name == "header" and state == OPEN:
-                state = OUT
-            elif name in MAIN:
-                state = TEXT
-            if tag[3] and name not in FORGIVEN:
-                for named in NAMED.finditer(tag[3]):
-                    words = set(WORD.findall((named[2] or named[3] or named[4] or "").lower()))
-                    if words & NOISE:
-                        state = OUT
-                    elif named[1].lower() == "role" and "main" in words and state == OPEN:
-                        state = TEXT
-            elif name in ("article",) and tag[3] and set(WORD.findall(tag[3].lower())) & {"comment", "comments", "reply"}:
-                state = OUT
-        stack.append((name, state))
+        if name in CLOSE_P and places.get("p") and places["p"][-1] >= (blocks[-1] if blocks else 0):
+            close_to(places["p"][-1])
+        state, in_header = _role(name, value, state, in_header), in_header or name == "header" and state == TEXT
+        places.setdefault(name, []).append(len(stack))
+        if name in BLOCK:
+            blocks.append(len(stack))
+        stack.append((name, state, in_header))
     close_line()
     return found
 

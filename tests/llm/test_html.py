@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from html import unescape
 
 from listinglake.llm.html_main import common_lines, lines_of, main_text, shared_lines
@@ -53,6 +54,21 @@ def test_structure():
     assert lines_of("") == [] and lines_of("a < b & c") == [("a < b & c", 0)] and lines_of("<p") == [("<p", 0)]
 
 
+def test_words_inside_articles():
+    page = """<div id=discussion>no</div><div class="related-work">no</div><article><header><h1>Title</h1><p class="byline">no</p><address>no</address>
+    <time>no</time><p>Lead</p><nav>no</nav></header><section id="discussion"><p>one</p></section><div class="related-work">two</div><p class="notice">three</p>
+    <div class="share social">four</div><div class="sponsored ad">no</div><div id="comments-list"><p>no</p></div><aside>no</aside><form>no</form><p>five</article><header>no</header>"""
+    assert [t for t, _ in lines_of(page)] == ["Title", "Lead", "one", "two", "three", "four", "five"]
+    assert lines_of('<article class="comment"><p>no</article><article><p>yes <a class="x>y</a></article>') == [("yes y", 1)]
+
+
+def test_malformed_megabytes_take_seconds():
+    for piece in ("<a ", '<a href="', "<div>", '<a b=">" ', "<p>", "<ul><li>", "</p>", "<script>", "<b>"):
+        started = time.process_time()
+        lines = lines_of("<article><p>first</p>" + piece * (1_000_000 // len(piece)))
+        assert lines[0] == ("first", 1) and time.process_time() - started < 10
+
+
 def test_pages_without_article(spark):
     def page(*lines):
         return "<body>" + "".join(f"<div>{x}</div>" for x in lines) + "</body>"
