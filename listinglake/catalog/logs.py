@@ -12,7 +12,8 @@ from listinglake.catalog.registry import query, with_ctes
 from listinglake.model import CLASSIFIED, GIG_FIELDS, KEY, KINDS, LOG_COLUMNS, OBSERVED, RENDERED, REPLACED
 from listinglake.operators import compaction, projections as p
 from listinglake.operators.sequencing import assign_sequence
-from listinglake.session import durable, working_folder
+from listinglake.session import durable, side_by_side, working_folder
+from listinglake.sources import commits
 from listinglake.sources import log as log_source
 from listinglake.sources.testviews import LOG_SQL, log, table
 from listinglake.venues import VENUES, unknown_venues, venues, with_venue_name
@@ -118,6 +119,41 @@ def log_append_json(spark, sf):
     return _appended(spark, sf, log_source.read_json_log, log_source.append_json)
 
 
+@query("append_concurrent", with_ctes(LOG_SQL, """numbered AS (SELECT * FROM log)
+  SELECT _type, count(*) AS n, count(*) AS numbers, count(DISTINCT (venue_id, url)) AS keys, sum(length(title)) AS letters, true AS gapless, 3 AS commits FROM numbered GROUP BY _type"""))
+def append_concurrent(spark, sf):
+    """The log appended by three writers at once that all start from the same state; all land, and no number is taken twice."""
+    path = f"{working_folder(spark)}/log-{uuid.uuid4().hex}"
+    entries = durable(log(spark, sf).withColumn("position", F.col("seq")))
+    part = lambda i: entries.where(F.col("seq") % 3 == i).withColumn("seq", F.lit(None).cast("bigint"))
+    side_by_side([lambda i=i: commits.append_committed(spark, path, part(i)) for i in range(3)])
+    whole = commits.snapshot(spark, path)
+    landed = commits.read(spark, whole)
+    ends = landed.agg(F.countDistinct("seq").alias("numbers"), F.min("seq").alias("low"), F.max("seq").alias("high")).first()
+    gapless = ends.numbers == whole.next_seq and (ends.low or 0) == 0 and (ends.high or 0) == max(whole.next_seq - 1, 0)
+    return landed.groupBy("_type").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("seq").alias("numbers"), F.count_distinct(F.struct("venue_id", "url")).alias("keys"),
+        F.sum(F.length("title")).alias("letters"),
+    ).select("*", F.lit(gapless).alias("gapless"), F.lit(len(whole.batches)).alias("commits"))
+
+
+@query("compact_swap", with_ctes(LOG_SQL, f"""numbered AS (SELECT * REPLACE (row_number() OVER (ORDER BY seq % 5 = 0, seq) - 1 AS seq), seq % 5 = 0 AS late FROM (SELECT {ALL} FROM log)),
+early AS (SELECT * FROM numbered WHERE NOT late)
+  SELECT {ALL} FROM numbered WHERE late OR _type IN ('rendered', 'replaced')
+  UNION ALL SELECT {ALL} FROM early WHERE _type = 'observed' QUALIFY row_number() OVER (PARTITION BY venue_id, url ORDER BY seq DESC) = 1
+  UNION ALL SELECT {ALL} FROM early WHERE _type = 'classified' QUALIFY row_number() OVER (PARTITION BY venue_id, url ORDER BY source = 'User' DESC, seq DESC) = 1"""))
+def compact_swap(spark, sf):
+    """A log whose files are swapped for their compaction, while a fifth of its entries is appended; read afterwards."""
+    path = f"{working_folder(spark)}/log-{uuid.uuid4().hex}"
+    entries = durable(log(spark, sf).withColumn("position", F.col("seq")))
+    part = lambda late: entries.where((F.col("seq") % 5 == 0) == F.lit(late)).withColumn("seq", F.lit(None).cast("bigint"))
+    commits.append_committed(spark, path, part(False))
+    seen = commits.snapshot(spark, path)
+    commits.append_committed(spark, path, part(True))
+    commits.swap(spark, seen, compaction.compact(commits.read(spark, seen)))
+    return commits.read_committed(spark, path)
+
+
 @query("append_refused", with_ctes(LOG_SQL, r"""bad AS (SELECT * REPLACE (
     CASE WHEN seq % 7 = 0 AND venue_id IS NOT NULL THEN ' ' ELSE venue_id END AS venue_id,
     CASE WHEN seq % 7 = 1 AND url IS NOT NULL THEN '' ELSE url END AS url,

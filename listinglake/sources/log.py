@@ -129,21 +129,32 @@ def entry_problem() -> Column:
     )
 
 
-def numbered_after(log: DataFrame, batch: DataFrame, position: str = "position") -> DataFrame:
-    """``batch`` numbered after ``log`` in ``position`` order, stored, or refused as a whole.
+def numbered_from(batch: DataFrame, last: int, position: str = "position") -> tuple[DataFrame, int | None]:
+    """``batch`` numbered after entry ``last`` in ``position`` order, stored, and its largest number; or refused as a whole.
 
     It is refused when a number it brings along does not follow the one before it, or when an entry
-    has an ``entry_problem``. One writer at a time: two that read the same log take the same numbers.
+    has an ``entry_problem``. An empty batch has no largest number.
+    """
+    numbered = durable(assign_sequence(as_entries(batch, [position]), position, last))
+    first = lambda where, *columns: F.min(F.when(where, F.struct("seq", *columns)))
+    told = numbered.withColumn("_problem", entry_problem()).agg(
+        F.max("seq").alias("last"), first(~F.col("in_order")).alias("unordered"), first(F.col("_problem").isNotNull(), "_problem").alias("refused")
+    ).first()
+    if told.unordered:
+        raise ValueError(f"entry seq {told.unordered.seq} does not follow the entry before it")
+    if told.refused:
+        raise ValueError(f"entry seq {told.refused.seq} is refused: {told.refused._problem}")
+    return numbered, told.last
+
+
+def numbered_after(log: DataFrame, batch: DataFrame, position: str = "position") -> DataFrame:
+    """``batch`` numbered after ``log``, or refused as a whole, for a log without commits.
+
+    One writer at a time: two that read the same log take the same numbers. ``sources.commits`` has a
+    log for several writers, which isn't read to find its last number either.
     """
     last = log.agg(F.max("seq")).first()[0]
-    numbered = durable(assign_sequence(as_entries(batch, [position]), position, -1 if last is None else last))
-    wrong = numbered.where(~F.col("in_order")).select("seq").take(1)
-    if wrong:
-        raise ValueError(f"entry seq {wrong[0][0]} does not follow the entry before it")
-    refused = numbered.select("seq", entry_problem().alias("problem")).where("problem IS NOT NULL").take(1)
-    if refused:
-        raise ValueError(f"entry seq {refused[0][0]} is refused: {refused[0][1]}")
-    return numbered
+    return numbered_from(batch, -1 if last is None else last, position)[0]
 
 
 def append(log: DataFrame, batch: DataFrame, path: str, position: str = "position") -> None:
