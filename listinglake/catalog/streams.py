@@ -6,26 +6,26 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from listinglake.catalog.logs import OBS_SQL, OWN_SQL
+from listinglake.catalog.logs import CURRENT_SQL, OBS_SQL, OWN_SQL
 from listinglake.catalog.registry import query, with_ctes
 from listinglake.model import GIG_FIELDS, KEY, LOG_COLUMNS
 from listinglake.session import working_folder
 from listinglake.sources.log import as_json_text, read_json_log
 from listinglake.sources.testviews import LOG_SQL, log
-from listinglake.streaming import state
+from listinglake.streaming import current, state
 from listinglake.streaming.ingest import stream_log
 
 
-def ran_twice(spark, sf, build, merge=None):
-    """Run a stream over half of the log's JSON files, and again once the others have arrived.
+def ran_twice(spark, sf, build, merge=None, turns=2):
+    """Run a stream over half of the log's JSON files, and again once the others have arrived, or in more turns.
 
     Entries are dealt to files by a hash, so they arrive out of order. Returns where the entries and
     the results are.
     """
     folder, out = (f"{working_folder(spark)}/{name}-{uuid.uuid4().hex}" for name in ("arriving", "state"))
-    half = F.pmod(F.xxhash64("seq"), F.lit(2))
-    for turn in range(2):
-        as_json_text(log(spark, sf).where(half == turn)).repartition(4).write.mode("append").text(folder)
+    part = F.pmod(F.xxhash64("seq"), F.lit(turns))
+    for turn in range(turns):
+        as_json_text(log(spark, sf).where(part == turn)).repartition(4).write.mode("append").text(folder)
         state.keep_up(build(stream_log(spark, folder, files_per_batch=2)), out, f"{out}-checkpoint").awaitTermination()
         if merge and turn == 0:
             state.merge(spark, out, merge)
@@ -50,6 +50,13 @@ def stream_latest(spark, sf):
     return state.rows_of(read_json_log(spark, folder), newest).select(*KEY, *GIG_FIELDS, "seq")
 
 
+@query("stream_current", with_ctes(LOG_SQL, CURRENT_SQL, "SELECT venue_id, url, title, date, poster_url, description, seq FROM current"))
+def stream_current(spark, sf):
+    """Gigs that are on, over two restarts; replacements come before and after what they are about."""
+    _, out = ran_twice(spark, sf, current.current, KEY, turns=3)
+    return current.still_on(state.current_state(spark, out, KEY)).select(*KEY, *GIG_FIELDS, "seq")
+
+
 @query("stream_status", with_ctes(LOG_SQL, OWN_SQL, "SELECT * FROM own"))
 def stream_status(spark, sf):
     return kept_up(spark, sf, state.verdicts, KEY)

@@ -6,12 +6,12 @@ watermark is needed: every key keeps one row of state for as long as the log doe
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from listinglake.model import CLASSIFIED, KEY, METAL, OBSERVED, OTHER, USER
+from listinglake.sources.files import numbers
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -68,7 +68,7 @@ def current_state(spark: SparkSession, path: str, key: list[str]) -> DataFrame:
 
     Reads the newest merged table and the batches after it.
     """
-    merged = _numbers(spark, _merged(path), "upto")
+    merged = numbers(spark, _merged(path), "upto")
     batches = spark.read.parquet(path)
     if not merged:
         return _newest(batches, key)
@@ -81,8 +81,8 @@ def merge(spark: SparkSession, path: str, key: list[str]) -> None:
 
     Batch folders up to it are needed no more and may expire.
     """
-    batches = _numbers(spark, path, "batch")
-    merged = _numbers(spark, _merged(path), "upto")
+    batches = numbers(spark, path, "batch")
+    merged = numbers(spark, _merged(path), "upto")
     if batches and batches[-1:] != merged[-1:]:
         rows = current_state(spark, path, key).withColumn("batch", F.lit(batches[-1]))
         rows.write.mode("overwrite").parquet(f"{_merged(path)}/upto={batches[-1]}")
@@ -92,16 +92,6 @@ def _merged(path: str) -> str:
     return f"{path.rstrip('/')}-merged"
 
 
-def _numbers(spark: SparkSession, path: str, name: str) -> list[int]:
-    """The numbers that a table's folders carry; none where there is no table."""
-    try:
-        return sorted(r[0] for r in spark.read.parquet(path).select(name).distinct().collect())
-    except AnalysisException as missing:
-        if missing.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return []
-        raise
-
-
 def _newest(stored: DataFrame, key: list[str]) -> DataFrame:
     rest = [c for c in stored.columns if c not in (*key, "batch")]
     return stored.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*key, "r.*")
