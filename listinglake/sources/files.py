@@ -23,6 +23,11 @@ def names(spark: SparkSession, folder: str) -> list[str]:
     return sorted(n for s in system.listStatus(place) if not (n := s.getPath().getName()).startswith((".", "_")))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place, system = _at(spark, path)
+    return system.exists(place)
+
+
 def numbers(spark: SparkSession, folder: str, name: str) -> list[int]:
     """The numbers k of a folder's parts ``name=k``."""
     return sorted(int(n.partition("=")[2]) for n in names(spark, folder) if n.startswith(f"{name}="))
