@@ -18,6 +18,7 @@ from listinglake.model import KEY
 from listinglake.operators import classification as c, posters, projections as p, publishing as pub, report
 from listinglake.operators.quality import gate
 from listinglake.session import durable, side_by_side, working_folder
+from listinglake.sources import published
 from listinglake.sources import testviews as t
 
 TODAY = "2024-06-01"
@@ -276,6 +277,23 @@ def publish_delta(spark, sf):
     return pub.publish_delta(pub.cards(now, today()), pub.cards(was, today()))
 
 
+def _positions(table: str) -> str:
+    return f"SELECT {CARD}, row_number() OVER (PARTITION BY date ORDER BY lower(title), first_seq) AS position FROM {table}"
+
+
+@query("publish_days", _rec(*PAGE_STATE, LOG_WAS_SQL, *[earlier(s) for s in (CURRENT_SQL, STATUS_SQL, FIRST_SQL, METAL_SQL, PAGE_SQL)], f"""put AS ({_positions('page')}), put_was AS ({_positions('page_was')}),
+moved AS (SELECT date FROM (SELECT * FROM put EXCEPT ALL SELECT * FROM put_was) UNION SELECT date FROM (SELECT * FROM put_was EXCEPT ALL SELECT * FROM put))
+  SELECT {CARD}, position, CASE WHEN date IN (SELECT date FROM moved) THEN '2024-06-01' ELSE '2024-05-01' END AS lastmod FROM put"""))
+def publish_days(spark, sf):
+    """The page published as of an earlier log, then as of the whole one: only days that differ are written again, and read so."""
+    path = f"{working_folder(spark)}/page-{uuid.uuid4().hex}"
+    entries = t.log(spark, sf)
+    before = entries.where(F.col("recorded_at") < F.lit(EARLIER).cast("timestamp_ntz"))
+    for log, at in ((before, "2024-05-01"), (entries, "2024-06-01")):
+        published.publish(durable(pub.placed(pub.cards(p.metal_gigs(log), today()))), path, F.lit(at).cast("timestamp"))
+    return published.read_page(spark, path).select(*CARD.split(", "), F.col("position").cast("long").alias("position"), F.col("lastmod").cast("date").cast("string").alias("lastmod"))
+
+
 @query("snapshot", _rec(*PAGE_STATE, f"SELECT {CARD}, '2024-06-01T12-00-00Z' AS snapshot FROM page"))
 def snapshot(spark, sf):
     """Two renders archived, the newer read back as current."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,9 +75,10 @@ def no_matches(found: DataFrame, query: str) -> bool:
     return bool(query.strip()) and found.isEmpty()
 
 
-def day_prints(page: DataFrame) -> DataFrame:
+def day_prints(page: DataFrame, columns: Sequence[str] = ("title", "venue", "url", "image_url")) -> DataFrame:
     """One print per day of its cards, by fixed-size aggregates that do not depend on row order."""
-    card = F.concat_ws("\u0001", "title", "venue", "url", "image_url")
+    said = [F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in columns]
+    card = F.concat_ws("\u0001", *said)
     return page.groupBy("date").agg(
         F.count(F.lit(1)).alias("n"),
         F.bit_xor(F.xxhash64(card)).alias("x"),

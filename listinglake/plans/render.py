@@ -11,6 +11,7 @@ from listinglake.operators import projections as p
 from listinglake.operators import publishing as pub
 from listinglake.operators import report
 from listinglake.session import durable
+from listinglake.sources.published import publish
 
 CARD = ["date", "display_date", "position", "title", "venue", "url", "image_url"]
 
@@ -29,12 +30,14 @@ class Render:
 
 
 def render(
-    log: DataFrame, today: Column, at: Column, archive_path: str, images: DataFrame, force: bool = False, show: int = 5
+    log: DataFrame, today: Column, at: Column, archive_path: str, images: DataFrame, force: bool = False, show: int = 5,
+    page_path: str | None = None,
 ) -> Render:
     """Publish the page as of ``today``, unless gigs on it are unresolved and it is not forced.
 
     The page is archived under its instant; days that differ from the newest archived page are
-    told, so nothing else has to be touched. ``images`` lists published image files.
+    told, so nothing else has to be touched. With ``page_path`` the page is published there as well,
+    of which only those days are written. ``images`` lists published image files.
     """
     spark = log.sparkSession
     current, status = durable(p.current_gigs(log)), durable(p.class_status(log))
@@ -49,6 +52,8 @@ def render(
     page = durable(pub.placed(cards))
     published = _published(spark, archive_path, page)
     changed = durable(pub.publish_delta(page, published))
+    if page_path is not None:
+        publish(page, page_path, at)
     stamp = spark.range(1).select(pub.snapshot_stamp(at)).first()[0]
     pub.write_snapshot(page.select(*CARD), archive_path, stamp)
     entry = pub.rendered_entry(page, f"snapshot={stamp}", today, at).withColumn("position", F.lit(0).cast("bigint"))
