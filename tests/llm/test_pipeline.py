@@ -32,3 +32,13 @@ def test_each_stage_keeps_columns_and_takes_odd_rows(spark):
                 assert out.columns == docs.columns
             if name in ("exact_dedup", "simhash"):
                 assert n == (2 if given is docs else 0)
+
+
+def test_columns_with_internal_names_come_through(spark):
+    extra = ["_row", "_Row_", "row", "node", "print", "key", "kept", "hashes", "size", "id", "_label"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 3, *[1000 + i] * len(extra)) for i, t in enumerate(["a b", "A B", "c d e", "f"])],
+                                 "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} long" for c in extra))
+    for stage, kept in ((corpus_pipeline.distinct, {1, 2, 3}), (corpus_pipeline.unlike, {0, 2, 3})):
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        assert {tuple(r[c] for c in ("doc_id", *extra)) for r in out.collect()} == {(i, *[1000 + i] * len(extra)) for i in kept}
