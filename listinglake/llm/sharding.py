@@ -98,8 +98,14 @@ def write(docs: DataFrame, placed: DataFrame, path: str, row: str = "_row", file
     """Write ``docs`` into a folder per shard; ``placed`` comes from ``shards`` with ``keep=(row,)``.
 
     A shard's rows are dealt over ``files_per_shard`` ranges of slots, each sorted, so that files keep
-    narrow minima and maxima.
+    narrow minima and maxima. Columns of ``docs`` that are called shard, slot or cell in any spelling are
+    written as ``<name>_given``.
     """
+    taken = {c.lower() for c in docs.columns}
+    for c in docs.columns:
+        if c.lower() in ("shard", "slot", "cell"):
+            free = next(n for n in (f"{c}_given" + "_" * i for i in range(len(taken) + 1)) if n.lower() not in taken)
+            docs = docs.withColumnRenamed(c, free)
     parts = docs.join(placed.select(row, "shard", "slot", "cell"), row)
     (
         parts.repartitionByRange(max(1, files_per_shard) * 24, "shard", "slot").sortWithinPartitions("shard", "slot")

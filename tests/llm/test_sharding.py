@@ -41,3 +41,12 @@ def test_files(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.drop("shard", "slot", "cell").exceptAll(docs.drop("_row").select(*[c for c in back.columns if c not in ("shard", "slot", "cell")])).count() == 0
     assert back.count() == docs.count()
+
+
+def test_write_keeps_columns_with_its_names(spark, tmp_path):
+    shape = "doc_id long, text string, lang string, source string, Shard int, slot long, cell long, slot_given int"
+    docs = with_row(spark.createDataFrame([(i, "x" * i, "en", "s", i + 100, i + 200, i + 300, i) for i in range(30)], shape))
+    write(docs, shards(docs, 3, keep=("_row",)), str(tmp_path / "out"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert {(r.doc_id, r.Shard_given, r.slot_given_, r.cell_given, r.slot_given) for r in got.collect()} == {(i, i + 100, i + 200, i + 300, i) for i in range(30)}
+    assert {r["count"] for r in got.groupBy("shard").count().collect()} == {10}
