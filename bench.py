@@ -23,7 +23,7 @@ HEADLINE = [
     "chk_shared_poster", "chk_shared_desc", "chk_contamination", "quality_report", "withheld", "crowded_bulk",
     "lookalikes", "replacements", "to_classify", "cost_report", "status_breakdown", "page_rows", "date_group_cards",
     "publish_delta", "year_rollover", "dedupe_first", "json_listing", "dom_shred", "dom_descend", "para_drop",
-    "date_range", "poster_rows", "stream_latest",
+    "date_range", "poster_rows", "stream_latest", "extract_listing",
 ]
 
 
