@@ -20,6 +20,9 @@ DOTTED_YEAR = r"\w{3}\.(\d{2})\.(\w{3})\.(\d{2})"
 SINGLE = r"(\d{1,2})\s+(\w+)\s+(\d{4})"
 DAY_MONTH = r"(\d{1,2})\w*\s+(\w+)"
 ISO = r"(\d{4}-\d{2}-\d{2})"
+MONTH_FIRST_START = r"^(\w+)\s+(\d{1,2})\w{2}"
+MONTH_FIRST_END = r"-\s*(\w+)\s+\d{1,2}\w{2}\s+(\d{4})"
+ORDINAL_PLAIN = r"(\d{1,2})\w{2}\s+(\w+)\s+(\d{4})"
 
 
 def month_number(name: Column) -> Column:
@@ -88,13 +91,12 @@ def _start_of(parts: Column) -> Column:
 def month_first_range_start(text: Column) -> Column:
     """``September 10th - October 3rd 2026``, or ``10th September 2026``."""
     line = F.trim(text)
-    start, end = r"^(\w+)\s+(\d{1,2})\w{2}", r"-\s*(\w+)\s+\d{1,2}\w{2}\s+(\d{4})"
     month = lambda p: month_number(F.regexp_extract(line, p, 1))
     number = lambda p: _number(F.regexp_extract(line, p, 2))
     ranged = once(
-        F.struct(number(start).alias("day"), month(start).alias("month"), month(end).alias("end_month"), number(end).alias("end_year")), _start_of
+        F.struct(number(MONTH_FIRST_START).alias("day"), month(MONTH_FIRST_START).alias("month"), month(MONTH_FIRST_END).alias("end_month"), number(MONTH_FIRST_END).alias("end_year")), _start_of
     )
-    return F.when(line.rlike(end), ranged).otherwise(printed_date(line, r"(\d{1,2})\w{2}\s+(\w+)\s+(\d{4})"))
+    return F.when(line.rlike(MONTH_FIRST_END), ranged).otherwise(printed_date(line, ORDINAL_PLAIN))
 
 
 def parts_start(day: Column, month: Column, end_month: Column, end_year: Column) -> Column:

@@ -29,7 +29,7 @@ CARD_SCHEMA = (
     f"date array<{SELECTOR}>, date_attr string, date_kind string, date_pattern string, century int, "
     f"month array<{SELECTOR}>, day array<{SELECTOR}>, year_rule string, "
     f"poster array<{SELECTOR}>, poster_attrs array<string>, poster_kind string, house_image string, "
-    f"card_copy array<{SELECTOR}>, distinct_links boolean, max_pages int"
+    f"card_copy array<{SELECTOR}>, distinct_links boolean"
 )
 
 
@@ -57,7 +57,7 @@ def _arena(venue_id: str) -> dict:
     return dict(
         venue_id=venue_id, base_url=site, under=[site + "events/detail/"], cards=[_class("eventItem")],
         link=[_inside("title", "a")], title=[_inside("title", "a")], date=[_class("date")], date_kind="parts",
-        poster=[_class("square", tag="img", in_class="thumb")], max_pages=20,
+        poster=[_class("square", tag="img", in_class="thumb")],
     )
 
 
@@ -86,20 +86,20 @@ CARD_RULES = [
     dict(venue_id="electric-brixton", base_url="https://www.electricbrixton.uk.com/events/",
          under=["https://www.electricbrixton.uk.com/events/"], cards=[_class("fl-post-grid-post")],
          link=[_inside("event-title", "a")], title=[_inside("event-title", "a")], date=[_class("event-date")],
-         date_kind="printed", poster=[_inside("uabb-post-thumbnail", "img")], max_pages=10),
+         date_kind="printed", poster=[_inside("uabb-post-thumbnail", "img")]),
     dict(venue_id="islington-assembly-hall", base_url="https://islingtonassemblyhall.co.uk/events/",
          under=["https://islingtonassemblyhall.co.uk/events/"], cards=[_class("event__item", tag="li")],
          link=[_class("event__item__title", tag="a")], title=[_class("event__item__title", tag="a")],
          month=[_class("event__item__date__month")], day=[_class("event__item__date__numeric")], year_rule="later",
-         poster=[_class("event__item__background", tag="a")], poster_attrs=["data-src"], poster_kind="thumbnail", max_pages=10),
+         poster=[_class("event__item__background", tag="a")], poster_attrs=["data-src"], poster_kind="thumbnail"),
     dict(venue_id="scala", base_url="https://scala.co.uk/events/categories/live-music/", under=["https://scala.co.uk/events/"],
          cards=[_class("tb-event-item")], link=[{"tag": "a", "in_tag": "h2"}], title=[{"tag": "a", "in_tag": "h2"}],
          date=[_class("date")], date_kind="printed", poster=[_class("tb-event-feature-pic")], poster_attrs=["style"],
-         poster_kind="css", max_pages=10),
+         poster_kind="css"),
     dict(venue_id="windmill-brixton", base_url="https://www.windmillbrixton.co.uk/listings/categories/all/",
          under=["https://www.windmillbrixton.co.uk/events/"], cards=[_class("EventLink", tag="a")],
          link=[_class("EventLink", tag="a")], title=[_class("title", "name")], date_kind="slug",
-         date_pattern=r"/events/(\d{4}-\d{2}-\d{2})-", poster=[_inside("Image-wrap", "img")], poster_kind="original", max_pages=10),
+         date_pattern=r"/events/(\d{4}-\d{2}-\d{2})-", poster=[_inside("Image-wrap", "img")], poster_kind="original"),
     dict(venue_id="union-chapel", base_url="https://unionchapel.org.uk/whats-on", under=["https://unionchapel.org.uk/whats-on/"],
          cards=[_class("item", attr="data-chron")], link=[{"tag": "a", "attr": "href", "part": "/whats-on/"}],
          title=[_class("card-title")], title_first=True, date=[_class("item", attr="data-chron")], date_attr="data-chron",
