@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from listinglake.classify_rates import TEXT_MODEL, VISION_MODEL, rates
 from listinglake.functions.text import longer_than, not_blank, stripped
 from listinglake.model import CLASSIFIED, KEY, LLM, METAL, OTHER
+from listinglake.operators.as_of import last_known
 
 # Fixed value: a description shorter than this is judged from the poster.
 THIN_TEXT = 80
@@ -144,6 +145,19 @@ def with_cost(verdicts: DataFrame) -> DataFrame:
     return priced.withColumn("cost", cost).drop("model", "valid_from", "valid_to", "in_per_m", "out_per_m")
 
 
+def with_cost_as_of(verdicts: DataFrame, rates_by_day: DataFrame) -> DataFrame:
+    """Like ``with_cost``, with rates (model, valid_from, valid_to, in_per_m, out_per_m) from a table of any size.
+
+    A day is priced by its model's newest rate from that day or before, unless that rate has ended by then.
+    """
+    dated = verdicts.withColumn("_day", F.col("recorded_at").cast("date"))
+    parts = ["valid_from", "valid_to", "in_per_m", "out_per_m"]
+    priced = last_known(dated, rates_by_day, [("llm_model", "model")], "_day", "valid_from", parts)
+    live = F.col("valid_to").isNull() | (F.col("_day") < F.col("valid_to"))
+    cost = F.col("input_tokens") / 1e6 * F.col("in_per_m") + F.col("output_tokens") / 1e6 * F.col("out_per_m")
+    return priced.withColumn("cost", F.when(live, cost)).drop("_day", *parts)
+
+
 def cost_report(verdicts: DataFrame) -> DataFrame:
     """Per path and in total: verdicts, tokens, dollars, and how many could not be priced."""
     path = F.when(F.col("use_vision"), "vision").otherwise("text")
