@@ -63,6 +63,20 @@ def placed(page: DataFrame) -> DataFrame:
     return with_position(page, ["date"], title_order()).withColumn("display_date", display_date(F.col("date")))
 
 
+def day_pages(placed_cards: DataFrame, size: int = 500) -> DataFrame:
+    """Cards of ``placed`` as lists of at most ``size``, numbered per day from 1, each list in page order.
+
+    A list's bound is the parameter, so a day with half of all cards becomes many rows on many tasks.
+    Every list of a day but its last is full; exploded, the lists are the cards that went in.
+    """
+    if size < 1:
+        raise ValueError("a page holds at least one card")
+    number = F.floor((F.col("position") - 1) / size).cast("long") + 1
+    # the place comes first in each card, so sorting a list puts it in page order
+    card = F.struct("position", *[F.col(c) for c in placed_cards.columns if c not in ("date", "display_date", "position")])
+    return placed_cards.groupBy("date", "display_date", number.alias("page")).agg(F.array_sort(F.collect_list(card)).alias("cards"))
+
+
 def search(page: DataFrame, query: str) -> DataFrame:
     """Cards whose title or venue holds the query, case aside. A blank query keeps all."""
     wanted = F.lower(stripped(F.lit(query)))
