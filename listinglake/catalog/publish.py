@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import re
 import uuid
-from functools import partial
+from functools import partial, reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from listinglake.catalog.logs import CURRENT_SQL, EDGES_SQL, OWN_SQL, STATUS_SQL, VENUES_SQL, walk_sql
 from listinglake.catalog.quality import GATE_SQL, UNITS, batch_of
@@ -15,7 +15,8 @@ from listinglake.classify_rates import TEXT_MODEL, VISION_MODEL
 from listinglake.functions import urls
 from listinglake.functions.text import slug
 from listinglake.model import KEY
-from listinglake.operators import classification as c, posters, projections as p, publishing as pub, report
+from listinglake.operators import classification as c, finder, posters, projections as p, publishing as pub, report
+from listinglake.operators.as_of import last_known
 from listinglake.operators.quality import gate
 from listinglake.session import durable, side_by_side, working_folder
 from listinglake.sources import published
@@ -128,6 +129,38 @@ def llm_cost(spark, sf):
     return c.with_cost(t.verdicts(spark, sf)).select("seq", "llm_model", F.round("cost", 9).alias("cost"))
 
 
+# Rates by model and day of order, some of them over the day they start; judged on days across the same years.
+_DAILY_SQL = f"""daily AS (SELECT CASE WHEN o_custkey % 2 = 0 THEN '{VISION_MODEL}' ELSE '{TEXT_MODEL}' END AS model, CAST(o_orderdate AS DATE) AS valid_from, count(*) AS n, max(o_orderkey % 100) AS m FROM orders GROUP BY 1, 2),
+  day_rates AS (SELECT model, valid_from, CASE WHEN n % 3 < 2 THEN valid_from + CAST(n % 3 AS INTEGER) END AS valid_to, CAST(n AS DOUBLE) AS in_per_m, CAST(m AS DOUBLE) AS out_per_m FROM daily),
+  judged AS (SELECT seq, llm_model, input_tokens, output_tokens, DATE '1994-12-01' + CAST(seq % 2500 AS INTEGER) AS day FROM verdicts)"""
+
+
+@query("llm_cost_as_of", with_ctes(t.VERDICTS_SQL, _DAILY_SQL, """SELECT seq, llm_model, CASE WHEN valid_to IS NULL OR day < valid_to THEN round(input_tokens / 1e6 * in_per_m + output_tokens / 1e6 * out_per_m, 9) END AS cost
+  FROM judged ASOF LEFT JOIN day_rates ON llm_model = model AND day >= valid_from"""))
+def llm_cost_as_of(spark, sf):
+    """Verdicts priced by thousands of daily rates."""
+    model = F.when(F.col("o_custkey") % 2 == 0, VISION_MODEL).otherwise(TEXT_MODEL)
+    daily = t.table(spark, sf, "orders").groupBy(model.alias("model"), F.col("o_orderdate").cast("date").alias("valid_from")).agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.col("o_orderkey") % 100).alias("m")
+    )
+    ends = F.when(F.col("n") % 3 < 2, F.date_add("valid_from", (F.col("n") % 3).cast("int")))
+    day_rates = daily.select("model", "valid_from", ends.alias("valid_to"), F.col("n").cast("double").alias("in_per_m"), F.col("m").cast("double").alias("out_per_m"))
+    at = F.date_add(F.lit("1994-12-01").cast("date"), (F.col("seq") % 2500).cast("int"))
+    judged = t.verdicts(spark, sf).withColumn("recorded_at", at.cast("timestamp_ntz"))
+    return c.with_cost_as_of(judged, day_rates).select("seq", "llm_model", F.round("cost", 9).alias("cost"))
+
+
+@query("last_order_before", """WITH ordered AS (SELECT o_custkey, o_orderdate, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1, 2)
+  SELECT l_orderkey, l_linenumber, b.o_orderkey AS previous_order FROM lineitem JOIN orders o ON l_orderkey = o.o_orderkey ASOF LEFT JOIN ordered b ON o.o_custkey = b.o_custkey AND o.o_orderdate > b.o_orderdate""")
+def last_order_before(spark, sf):
+    """For every line its customer's order of a day before."""
+    orders = t.table(spark, sf, "orders")
+    of = orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("customer"), F.col("o_orderdate").alias("day"))
+    lines = t.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").join(of, "l_orderkey")
+    found = last_known(lines, orders, [("customer", "o_custkey")], "day", "o_orderdate", ["o_orderkey"], before=True)
+    return found.select("l_orderkey", "l_linenumber", F.col("o_orderkey").alias("previous_order"))
+
+
 @query("cost_report", with_ctes(t.VERDICTS_SQL, COST_SQL, """SELECT coalesce(path, 'total') AS path, count(*) AS n, coalesce(sum(input_tokens), 0) AS input_tokens,
     coalesce(sum(output_tokens), 0) AS output_tokens, count(*) FILTER (cost IS NULL) AS unpriced, printf('$%.4f', coalesce(sum(cost), 0)) AS dollars
   FROM (SELECT *, CASE WHEN use_vision THEN 'vision' ELSE 'text' END AS path FROM priced) GROUP BY ROLLUP (path)"""))
@@ -240,6 +273,19 @@ def search(spark, sf):
     return pub.search(page_of(spark, sf), "  BREW ").select(*CARD.split(", "))
 
 
+# Queries of one, two, three and more characters, among them one that nothing holds.
+FOUND = ("  BREW ", "a", "e ", "the", "qzx", " Underworld")
+
+
+@query("search_index", _rec(*PAGE_STATE, " UNION ALL ".join(f"SELECT {CARD}, '{q}' AS query FROM page WHERE contains(lower(title || chr(10) || venue), '{q.strip().lower()}')" for q in FOUND)))
+def search_index(spark, sf):
+    """The page searched by its index."""
+    cards = page_of(spark, sf).select(*CARD.split(", "))
+    index = finder.build(cards, ["title", "venue"], f"{working_folder(spark)}/index-{uuid.uuid4().hex}", shelves=16, buckets=16)
+    found = [finder.find(spark, index, q).withColumn("query", F.lit(q)) for q in FOUND]
+    return reduce(DataFrame.unionByName, found)
+
+
 _DISPLAY = "dayname(date) || ', ' || day(date) || ' ' || monthname(date) || ' ' || year(date)"
 
 
@@ -253,6 +299,18 @@ def date_group_cards(spark, sf):
     return pub.placed(page_of(spark, sf)).select(*CARD.split(", "), "display_date", "position")
 
 
+PAGE_SIZE = 7
+
+
+@query("day_pages", _rec(*PAGE_STATE, f"""put AS (SELECT date, url, title, {_DISPLAY} AS display_date, row_number() OVER (PARTITION BY date ORDER BY lower(title), first_seq) AS position FROM page)
+  SELECT date, display_date, CAST((position - 1) // {PAGE_SIZE} + 1 AS BIGINT) AS page, count(*) AS n_cards, string_agg(url, chr(10) ORDER BY position) AS urls, arg_max(title, position) AS last_title FROM put GROUP BY 1, 2, 3"""))
+def day_pages(spark, sf):
+    """The page as nested days: lists of cards, a few each, told by their urls and last title."""
+    pages = pub.day_pages(pub.placed(page_of(spark, sf)), PAGE_SIZE)
+    urls = F.array_join(F.transform("cards", lambda card: card["url"]), "\n")
+    return pages.select("date", "display_date", "page", F.size("cards").cast("long").alias("n_cards"), urls.alias("urls"), F.element_at("cards", -1)["title"].alias("last_title"))
+
+
 EARLIER = "2024-01-20"
 
 
