@@ -2,10 +2,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from listinglake.llm.common import with_row
-from listinglake.llm.sharding import hilbert, shards, write
+from listinglake.llm.sharding import _name_cells, _name_edges, hilbert, shards, write
 
 
 @pytest.mark.parametrize("dims,bits", [(2, 3), (3, 3), (3, 5)])
@@ -35,6 +37,34 @@ def test_rows_are_dealt_evenly(spark, n):
     assert shards(docs.limit(0), n).count() == 0
 
 
+def test_names_in_order_let_files_be_skipped(spark):
+    """Shards that minima and maxima can't rule out, against cells of names without order."""
+    docs = with_row(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    mixed = docs.select("_row", "doc_id", "text", F.md5("lang").alias("lang"), F.md5("source").alias("source"))
+    facts = docs.select("_row", "lang", "source", F.octet_length("text").alias("bytes")).toPandas().set_index("_row")
+
+    def kept(table):
+        placed = shards(table, 24, keep=("_row",)).select("_row", "shard").toPandas().set_index("_row").join(facts)
+        spans = placed.groupby("shard").agg(["min", "max"])
+        asked = {"lang": facts.lang.unique(), "source": facts.source.unique(), "bytes": [100, 1000, 10_000]}
+        return {c: sum(((spans[c]["min"] <= v) & (v <= spans[c]["max"])).sum() for v in values) / len(values) for c, values in asked.items()}
+
+    ordered, by_hash = kept(docs), kept(mixed)
+    print(ordered, by_hash)
+    assert ordered["source"] < 0.8 * by_hash["source"] and ordered["lang"] <= by_hash["lang"] and ordered["bytes"] < 16
+
+
+def test_names_share_cells_with_their_neighbours(spark):
+    edges = _name_edges(spark.range(10_000).select(F.format_string("n%05d", "id").alias("x")).repartition(5), "x", 31)
+    assert len(edges) == 31 and edges == sorted(edges) and edges[0] == "n00000"
+    assert max(int(b[1:]) - int(a[1:]) for a, b in zip(edges, edges[1:])) < 400
+    got = _name_cells(pd.Series([None, "a", "n00000", "n09999", "zz"], dtype=object), edges, 32)
+    assert list(got) == [0, 1, 1, 31, 31]
+    hot = _name_edges(spark.range(900).select(F.when(F.col("id") < 600, "m").otherwise(F.col("id").cast("string")).alias("x")), "x", 7)
+    assert "m" in hot
+    assert _name_edges(spark.range(3).select(F.lit(None).cast("string").alias("x")), "x", 7) == []
+
+
 def test_files(spark, tmp_path):
     docs = with_row(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
     write(docs, shards(docs, 24, keep=("_row",)), str(tmp_path / "out"))
