@@ -10,7 +10,7 @@ threat likewise. A logistic model weighs what a document's clauses matched.
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import product
 
@@ -25,7 +25,8 @@ from listinglake.llm.tokens import REMEMBERED
 
 # Rows that labels are learned from; a fixed sample, while every document is scored.
 MOST_LABELS = 20_000
-# Words and stems the insult lexicon may hold, and what a term must show to enter it.
+# Words and stems the insult lexicon may hold, the toxic texts a term must be in to enter it and the
+# log odds it must have there. They belong to the model: other values give other scores.
 LEXICON = 4096
 SEEN, LOG_ODDS = 5, 3.0
 STEMS = (4, 5, 6, 7)
@@ -150,10 +151,11 @@ def _all_features(texts, grammar: Grammar) -> np.ndarray:
     return np.array([none if r is None else r for r in rows]).reshape(-1, FEATURES)
 
 
-def learn_lexicon(sample: DataFrame, most: int = LEXICON) -> dict[str, float]:
+def learn_lexicon(sample: DataFrame, most: int = LEXICON, seen: int = SEEN, log_odds: float = LOG_ODDS) -> dict[str, float]:
     """Words and stems that tell toxic documents of ``sample`` (text, _label), with their log odds.
 
-    Every distinct text counts once, so that copies don't vote; terms are counted in the tasks first.
+    Every distinct text counts once per label, as a text and in its words, so that copies don't vote; terms
+    are counted in the tasks first. At most ``most`` terms, each in ``seen`` toxic texts or more.
     """
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
@@ -164,13 +166,13 @@ def learn_lexicon(sample: DataFrame, most: int = LEXICON) -> dict[str, float]:
         if counts:
             yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array([c[1] for c in counts.values()]), pa.array([c[0] for c in counts.values()])], ["word", "toxic", "clean"])
 
-    texts = sample.select(F.coalesce("text", F.lit("")).alias("text"), "_label").groupBy(F.xxhash64("text").alias("_h"), "_label").agg(F.first("text").alias("text")).select("text", "_label")
+    texts = sample.select(F.coalesce("text", F.lit("")).alias("text"), "_label").distinct()
     counted = texts.mapInArrow(words, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     stems = F.concat(F.array("word"), *[F.when(F.length("word") >= n, F.array(F.concat(F.substring("word", 1, n), F.lit("*")))).otherwise(F.array().cast("array<string>")) for n in STEMS])
     terms = counted.select(F.explode(stems).alias("term"), "toxic", "clean").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    n = {r["_label"]: r["n"] for r in sample.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = {r["_label"]: r["n"] for r in texts.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
     odds = F.log((F.col("toxic") + 0.1) / (n.get(1, 0) + 1)) - F.log((F.col("clean") + 0.1) / (n.get(0, 0) + 1))
-    told = terms.where(F.col("toxic") >= SEEN).withColumn("odds", odds).where(F.col("odds") >= LOG_ODDS)
+    told = terms.where(F.col("toxic") >= seen).withColumn("odds", odds).where(F.col("odds") >= log_odds)
     best = told.orderBy(F.desc(F.col("toxic") * F.col("odds")), "term").limit(most).collect()
     return {r.term: min(r.odds, 6.0) for r in best}
 
@@ -185,23 +187,33 @@ class Model:
         return self.logistic.probability(_all_features(texts, grammar))
 
 
-def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> Model:
-    """Fit on at most ``most`` labelled documents outside the held-out quarter."""
+def labelled_texts(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """One (text, _label) per labelled id, at most ``most``; of rows that share an id the one whose text has the
+    smallest hash, so that the order of rows doesn't matter."""
+    text = F.coalesce("text", F.lit(""))
+    sample = labelled(docs.select("doc_id", "text"), labels, "toxic", most)
+    one = sample.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64(text).alias("hash"), text.alias("text"), "_label")).alias("row"))
+    return one.select("row.text", "row._label")
+
+
+def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS, lexicon_size: int = LEXICON, seen: int = SEEN, log_odds: float = LOG_ODDS) -> Model:
+    """Fit on at most ``most`` labelled documents outside the held-out quarter, which bounds what is collected;
+    the other parameters are those of ``learn_lexicon``."""
     from listinglake.llm.common import stored
 
-    sample = stored(labelled(docs.select("doc_id", "text"), labels, "toxic", most).select("text", "_label"))
-    lexicon = learn_lexicon(sample)
+    sample = stored(labelled_texts(docs, labels, most))
+    lexicon = learn_lexicon(sample, lexicon_size, seen, log_odds)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar(lexicon)
         for batch in batches:
-            values = _all_features([t or "" for t in batch.column(0).to_pylist()], grammar)
+            values = _all_features(batch.column(0).to_pylist(), grammar)
             yield pa.RecordBatch.from_arrays([pa.array(list(values), pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
 
-    rows = sample.select("text", "_label").mapInArrow(features, "x array<double>, y int").groupBy("x", "y").count().collect()
-    counts = Counter({(tuple(r.x), r.y): min(r["count"], most) for r in rows})
-    x = np.array([k[0] for k, n in counts.items() for _ in range(n)], dtype=float).reshape(-1, FEATURES)
-    y = np.array([k[1] for k, n in counts.items() for _ in range(n)], dtype=float)
+    rows = sample.mapInArrow(features, "x array<double>, y int").groupBy("x", "y").count().collect()
+    rows.sort(key=lambda r: (r.x, r.y))
+    x = np.array([r.x for r in rows for _ in range(r["count"])], dtype=float).reshape(-1, FEATURES)
+    y = np.array([r.y for r in rows for _ in range(r["count"])], dtype=float)
     return Model(lexicon, Logistic(x, y))
 
 
