@@ -1,7 +1,7 @@
 """Quality by hierarchical empirical Bayes: a document's own evidence and what its site is like.
 
 A logistic model of surface features gives each document a probability. Sites are hosts and, below
-them, sections (host and language). A section's rate is a Beta posterior whose prior is its host's
+them, sections: the first segment of the path, or the language where a source has no path. A section's rate is a Beta posterior whose prior is its host's
 rate, a host's posterior has the corpus rate as prior; how strongly sparse sites shrink is estimated
 from how much sites differ. A document's odds are its evidence times the odds of its section, from
 which its own part is left out.
@@ -89,6 +89,13 @@ def host_of(source: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(source, r"^(?:[a-zA-Z]+://)?([^/?#]*)", 1)), F.lit(""))
 
 
+def section_of(source: Column, lang: Column) -> Column:
+    """The site and, below it, the first segment of the path; where there is none, the language."""
+    segment = F.coalesce(F.lower(F.regexp_extract(source, r"^(?:[a-zA-Z]+://)?[^/?#]*/+([^/?#]+)", 1)), F.lit(""))
+    below = F.when(segment != "", F.concat(F.lit("/"), segment)).otherwise(F.coalesce(lang, F.lit("")))
+    return F.concat_ws("\x1f", host_of(source), below)
+
+
 def _strength(sites: DataFrame, n: str, mean: str, overall: float) -> float:
     """Weight of the prior in documents, by the method of moments: the less sites differ, the more."""
     weight = F.col(n)
@@ -110,7 +117,7 @@ BROADCAST_SECTIONS = 200_000
 def _keyed(docs: DataFrame, others: list[str], text: str = "text") -> DataFrame:
     """``others``, the host and section of each row, and its text, null as empty."""
     host = host_of(F.col("source"))
-    section = F.concat_ws("\x1f", host, F.coalesce("lang", F.lit("")))
+    section = section_of(F.col("source"), F.col("lang"))
     return docs.select(*others, host.alias("_host"), section.alias("_section"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
 
 
